@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import bpe
+from leafmill.llm import bpe, minhash
 from leafmill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,8 +17,12 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_byte_bpe": op1_byte_bpe}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_minhash_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
