@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import bpe, minhash
+from leafmill.llm import bpe, minhash, quality
 from leafmill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,8 +21,13 @@ def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score_documents(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_minhash_dedup)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_minhash_dedup, op8_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
