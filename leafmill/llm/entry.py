@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import bpe, minhash, quality
+from leafmill.llm import bpe, minhash, quality, toxicity
 from leafmill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,8 +26,13 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.grade_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_minhash_dedup, op8_quality_rules)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_minhash_dedup, op8_quality_rules, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -61,6 +61,7 @@ class Words:
     starts: np.ndarray
     ends: np.ndarray
     first: np.ndarray
+    gapless: bool = True  # no gap byte but white space, which hashes as nothing
 
     @property
     def counts(self) -> np.ndarray:
@@ -68,8 +69,15 @@ class Words:
 
     def hashes(self, lower: bool = False) -> np.ndarray:
         """A hash of each word's bytes; ``lower`` takes A-Z as a-z."""
+        return self.prefix_hashes([None], lower)[0]
+
+    def prefix_hashes(self, sizes: list[int | None], lower: bool = False) -> list[np.ndarray]:
+        """For each size a hash of each word's first so many bytes (None: all).
+
+        A word shorter than the size has the hash of the whole word.
+        """
         if not len(self.starts):
-            return np.zeros(0, np.uint64)
+            return [np.zeros(0, np.uint64)] * len(sizes)
         begin = np.zeros(len(self.data), np.int64)
         begin[self.starts] = self.starts
         at = np.arange(len(self.data), dtype=np.int64) - np.maximum.accumulate(begin)
@@ -78,7 +86,20 @@ class Words:
             if (top := int((self.ends - self.starts).max())) > _BLOCK:
                 values *= _powers(_STEP, top // _BLOCK + 1)[np.minimum(at // _BLOCK, top // _BLOCK)]
             values *= _POW[at % _BLOCK]
-            return mix(np.add.reduceat(values, self.starts) + (self.ends - self.starts).astype(np.uint64))
+            if len(self.data) and not self.gapless:
+                values[~self._inside()] = 0
+            lengths = (self.ends - self.starts).astype(np.uint64)
+            out = []
+            for size in sizes:
+                part = values if size is None else np.where(at < size, values, np.uint64(0))
+                out.append(mix(np.add.reduceat(part, self.starts) + (lengths if size is None else np.minimum(lengths, np.uint64(size)))))
+            return out
+
+    def _inside(self) -> np.ndarray:
+        marks = np.zeros(len(self.data) + 1, np.int8)
+        marks[self.starts] += 1
+        marks[self.ends] -= 1
+        return np.cumsum(marks[:-1], dtype=np.int8) > 0
 
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -91,9 +112,10 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[at[0] : at[-1]], at - at[0]
 
 
-def words_of(texts: pa.Array) -> Words:
+def words_of(texts: pa.Array, gaps: np.ndarray = SPACE) -> Words:
+    """``gaps``: the 256 flags of bytes that end a word."""
     data, text = text_bytes(texts)
-    inside = ~SPACE[data]
+    inside = ~gaps[data]
     filled = np.flatnonzero(np.diff(text))
     before = np.empty_like(inside)
     before[1:] = inside[:-1]
@@ -103,7 +125,7 @@ def words_of(texts: pa.Array) -> Words:
     after[text[filled + 1] - 1] = False
     starts = np.flatnonzero(inside & ~before)
     ends = np.flatnonzero(inside & ~after) + 1
-    return Words(data, text, starts, ends, np.searchsorted(starts, text))
+    return Words(data, text, starts, ends, np.searchsorted(starts, text), gaps is SPACE)
 
 
 _PLACE = stream(11, 8) | np.uint64(1)
