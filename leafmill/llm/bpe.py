@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame
 
 from leafmill.llm.common import map_batches, slices
 
-#: Entries that a cache holds before it starts anew, and the longest key.
-CACHE_ROWS, CACHE_KEY = 400_000, 48
+#: Entries of each of a cache's two generations, and the longest key kept.
+CACHE_ROWS, CACHE_KEY = 300_000, 48
 
 _SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 
@@ -55,22 +55,32 @@ def to_bytes(chars: str) -> bytes:
 
 
 _TO_CHARS = dict(enumerate(BYTE_CHARS))
+#: Characters below are NFC as they are, and each is lowered by itself.
+_PLAIN = "\u0130"
 _SPACE, _NEWLINE, _MARKS = BYTE_CHARS[32], BYTE_CHARS[10], string.punctuation
 
 
 class _Cache(dict):
-    """A dict that computes what it lacks and forgets all when it is full."""
+    """A dict that computes what it lacks.
+
+    When it is full its entries become the older generation and the one before
+    is forgotten; an older entry that is asked for again moves back.
+    """
 
     def __init__(self, compute: Callable[[str], bytes]):
         super().__init__()
-        self.compute = compute
+        self.compute, self.older = compute, {}
 
     def __missing__(self, key: str) -> bytes:
-        value = self.compute(key)
-        if len(key) <= CACHE_KEY:
-            if len(self) >= CACHE_ROWS:
-                self.clear()
-            self[key] = value
+        value = self.older.get(key)
+        if value is None:
+            value = self.compute(key)
+            if len(key) > CACHE_KEY:
+                return value
+        if len(self) >= CACHE_ROWS:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
         return value
 
 
@@ -79,7 +89,7 @@ class CachedEncoder:
 
     ``pretokens`` cuts a text, ``merge`` gives the ids of one pre-token.  With
     ``spaces`` a pre-token may begin with a space; without, spaces vanish and
-    ASCII letters are lowered.  Letters, perhaps with ASCII punctuation after
+    letters are lowered.  Letters, perhaps with ASCII punctuation after
     them, need no pattern: they are one pre-token, the punctuation another.
     """
 
@@ -102,12 +112,13 @@ class CachedEncoder:
         return self._cut(lead + part)
 
     def _bare(self, part: str) -> bytes:
-        if part.isascii():
+        if part.isascii() or max(part) < _PLAIN:
             if part.isalpha():
-                return self.words[part.lower()]
+                low = part.lower()
+                return self.words[low if low.isascii() else to_chars(low.encode())]
             core = part.rstrip(_MARKS)
             if core.isalpha():
-                return self.words[core.lower()] + self.words[part[len(core) :]]
+                return self._bare(core) + self.words[part[len(core) :]]
             if "\n" in part:
                 return b"".join(map(self._bare, part.split("\n")))
         return self._cut(part)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import bpe, minhash, quality, toxicity
+from leafmill.llm import bpe, minhash, packing, quality, sharding, store, toxicity
 from leafmill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,14 @@ def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op6_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score_documents(docs, quality.train(docs, table(spark, sf_dir, "labels")))
@@ -31,8 +39,13 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.grade_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op10_content_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = store.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return store.read_sums(spark, at)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_minhash_dedup, op8_quality_rules, op9_toxicity)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_minhash_dedup, op5_best_two_fit, op6_bounded_ring, op8_quality_rules, op9_toxicity, op10_content_store)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -107,10 +107,32 @@ def _signed(docs: DataFrame, p: NearDup) -> DataFrame:
     return map_batches(docs, make, "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>")
 
 
-def _sets(docs: DataFrame, p: NearDup) -> DataFrame:
+#: Bits of the filter that spares texts outside all pairs the way; 2 MB whatever the input.
+FILTER_BITS = 1 << 24
+
+
+def _filter(ids: DataFrame) -> np.ndarray:
+    """A bitmap of hashed ids, of FILTER_BITS at any size of the input.
+
+    It only lets texts be left out that are surely in no pair; where it is
+    full it lets all through, and the exact join after it decides alone.
+    """
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    words = ids.groupBy(F.shiftright(bit, 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(xxhash64(doc_id), 32) as int))")).alias("bits"))
+    got = words.toPandas()
+    out = np.zeros(FILTER_BITS // 32, np.uint32)
+    out[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).astype(np.uint32)
+    return out
+
+
+def _sets(docs: DataFrame, p: NearDup, near: np.ndarray) -> DataFrame:
+    docs = docs.withColumn("bit", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)))
+
     def make():
         def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            for part in slices(batch, "text"):
+            bit = batch.column("bit").to_numpy()
+            batch = batch.filter(pa.array((near[bit >> 5] >> (bit & 31).astype(np.uint32)) & 1 == 1))
+            for part in slices(batch, "text") if batch.num_rows else ():
                 sets = [s.tobytes() for s in shingle_sets(words_of(part.column("text")), p.words)]
                 yield pa.record_batch([part.column("doc_id"), pa.array(sets, pa.binary())], ["id", "hashes"])
 
@@ -119,10 +141,19 @@ def _sets(docs: DataFrame, p: NearDup) -> DataFrame:
     return map_batches(docs, make, "id long, hashes binary")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, p: NearDup) -> DataFrame:
-    """The pairs ``a, b`` whose full sets are similar enough."""
-    ids = pairs.select("a").union(pairs.select("b")).toDF("doc_id").distinct()
-    sets = saved(_sets(docs.join(ids, "doc_id", "left_semi"), p), "sets")
+def _confirmed(pairs: DataFrame, sizes: DataFrame, docs: DataFrame, p: NearDup) -> DataFrame:
+    """The pairs ``a, b`` whose full sets are similar enough.
+
+    Sets of too different sizes need no look at the texts.
+    """
+    for side in "ab":
+        pairs = pairs.join(sizes.toDF(side, f"n{side}"), side)
+    pairs = saved(pairs.where(f"100 * least(na, nb) >= {p.percent} * greatest(na, nb)").select("a", "b"), "sized")
+    if pairs.isEmpty():
+        return pairs
+    ids = saved(pairs.select("a").union(pairs.select("b")).toDF("doc_id").distinct(), "candidates")
+    sets = _sets(docs, p, _filter(ids)).join(ids.withColumnRenamed("doc_id", "id"), "id", "left_semi")
+    sets = saved(sets, "sets")
     both = pairs.join(sets.toDF("b", "of_b"), "b").join(sets.toDF("a", "of_a"), "a").select("a", "b", "of_a", "of_b")
 
     def make():
@@ -154,12 +185,13 @@ def near_duplicates(df: DataFrame, params: NearDup = NearDup(), id_col: str = "d
     linked = signed.where("n_shingles > 0 and doc_id is not null")
     classes = saved(linked.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), "classes")
     firsts = linked.withColumnRenamed("doc_id", "rep").join(classes, ["h1", "h2", "rep"], "left_semi")
+    sizes = saved(firsts.select("rep", "n_shingles").distinct(), "sizes")
     members = firsts.select("rep", F.explode("bands").alias("key"))
     buckets = members.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("hub")).where("size > 1")
     shared = saved(members.join(buckets, "key"), "buckets")
     tested = saved(shared.where("hub <> rep").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
     texts = docs.where("doc_id is not null")
-    links = saved(_confirmed(tested, texts, p), "confirmed")
+    links = saved(_confirmed(tested, sizes, texts, p), "confirmed")
     labels = components(links)
     done = 0
     while True:
@@ -172,7 +204,7 @@ def near_duplicates(df: DataFrame, params: NearDup = NearDup(), id_col: str = "d
             small = x.join(y, F.expr("x.key = y.key and x.rep < y.rep and x.label <> y.label")).selectExpr("x.rep a", "y.rep b")
             pairs = pairs.union(small)
         fresh = saved(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        new = saved(_confirmed(fresh, texts, p), "confirmed")
+        new = saved(_confirmed(fresh, sizes, texts, p), "confirmed")
         done += 1
         if found := not new.isEmpty():
             links = links.union(new)
