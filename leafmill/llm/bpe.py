@@ -2,8 +2,8 @@
 
 The tokenizers library does the merging.  Two caches stand before it: one from
 what lies between two spaces to its ids, one from a pre-token to its ids.  A
-single space can only open a pre-token, so a text cut at its single spaces
-gives the same pre-tokens as the whole text; runs of spaces are never cut.
+space before anything but white space can only open a pre-token, so a text cut
+there gives the same pre-tokens as the whole text; no other space is a cut.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from leafmill.llm.common import map_batches, slices
 #: Entries of each of a cache's two generations, and the longest key kept.
 CACHE_ROWS, CACHE_KEY = 300_000, 48
 
-_SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
+_SAFE_CUT = re.compile(r" (?=\S)")
 
 
 def byte_chars() -> list[str]:
@@ -96,11 +96,15 @@ class CachedEncoder:
     def __init__(self, pretokens: Callable[[str], Iterable[str]], merge: Callable[[str], list[int]], spaces: bool):
         self.pretokens, self.spaces = pretokens, spaces
         self.words = _Cache(lambda w: array("I", merge(w)).tobytes())
-        self.parts = _Cache(self._spaced if spaces else self._bare)
+        self.parts = _Cache(self._after_space if spaces else self._bare)
 
     def _cut(self, text: str) -> bytes:
         return b"".join(map(self.words.__getitem__, self.pretokens(text)))
 
+    def _after_space(self, part: str) -> bytes | None:
+        """None where the space before ``part`` is no cut."""
+        return self._spaced(part) if part and not part[0].isspace() else None
+
     def _spaced(self, part: str, lead: str = " ") -> bytes:
         if part.isalpha():
             return self.words[(_SPACE if lead else "") + (part if part.isascii() else to_chars(part.encode()))]
@@ -128,9 +132,14 @@ class CachedEncoder:
             return b""
         if not self.spaces:
             return b"".join(map(self.parts.__getitem__, text.split(" ")))
-        parts = _SAFE_CUT.split(text) if "  " in text else text.split(" ")
-        head = self._cut(parts[0]) if parts[0] else b""
-        return head + b"".join(map(self.parts.__getitem__, parts[1:]))
+        if "  " not in text:
+            parts = text.split(" ")
+            try:
+                return self._cut(parts[0]) + b"".join(map(self.parts.__getitem__, parts[1:]))
+            except TypeError:  # one of the parts is None
+                pass
+        parts = _SAFE_CUT.split(text)
+        return self._cut(parts[0]) + b"".join(map(self.parts.__getitem__, parts[1:]))
 
 
 def lowest_first(data: bytes, ranks: dict[bytes, int]) -> list[int]:

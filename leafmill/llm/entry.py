@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import bpe, minhash, packing, quality, sharding, store, toxicity
+from leafmill.llm import bpe, counting, minhash, packing, quality, sharding, store, toxicity
 from leafmill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,10 @@ def op6_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_unigram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counting.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score_documents(docs, quality.train(docs, table(spark, sf_dir, "labels")))
@@ -45,7 +49,7 @@ def op10_content_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_minhash_dedup, op5_best_two_fit, op6_bounded_ring, op8_quality_rules, op9_toxicity, op10_content_store)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_minhash_dedup, op5_best_two_fit, op6_bounded_ring, op7_unigram_counts, op8_quality_rules, op9_toxicity, op10_content_store)}
 
 
 def oracle_sql() -> dict[str, str]:
