@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import bpe, counting, langid, minhash, packing, quality, sharding, store, toxicity
+from leafmill.llm import bpe, counting, langid, media, minhash, packing, quality, sharding, store, toxicity
 from leafmill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,10 @@ def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.store_and_read(table(spark, sf_dir, "documents"))
+
+
 def op4_byte_network(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.predict(docs, langid.train(docs))
@@ -54,7 +58,7 @@ def op10_content_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_minhash_dedup, op4_byte_network, op5_best_two_fit, op6_bounded_ring, op7_unigram_counts, op8_quality_rules, op9_toxicity, op10_content_store)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_minhash_dedup, op3_progressive_jpeg, op4_byte_network, op5_best_two_fit, op6_bounded_ring, op7_unigram_counts, op8_quality_rules, op9_toxicity, op10_content_store)}
 
 
 def oracle_sql() -> dict[str, str]:
