@@ -100,11 +100,11 @@ def _signed(docs: DataFrame, p: NearDup) -> DataFrame:
                     h1 = np.array([mix(s * np.uint64(3)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
                     h2 = np.array([mix(s ^ np.uint64(0x2545F4914F6CDD1D)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
                 bands = pa.array([own.keys(s) if len(s) else np.zeros(0, np.int64) for s in sets], pa.list_(pa.int64()))
-                yield pa.record_batch([part.column("doc_id"), pa.array(n), pa.array(h1), pa.array(h2), bands], ["doc_id", "n_shingles", "h1", "h2", "bands"])
+                yield pa.record_batch([part.column("doc_id"), part.column("text_hash"), pa.array(n), pa.array(h1), pa.array(h2), bands], ["doc_id", "text_hash", "n_shingles", "h1", "h2", "bands"])
 
         return step
 
-    return map_batches(docs, make, "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>")
+    return map_batches(docs, make, "doc_id long, text_hash long, n_shingles long, h1 long, h2 long, bands array<long>")
 
 
 #: Bits of the filter that spares texts outside all pairs the way; 2 MB whatever the input.
@@ -172,7 +172,7 @@ def _confirmed(pairs: DataFrame, sizes: DataFrame, docs: DataFrame, p: NearDup)
 
 
 def near_duplicates(df: DataFrame, params: NearDup = NearDup(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for every row of ``df``.
+    """``doc_id, n_shingles, component_id, kept, text_hash`` for every row of ``df``.
 
     A text without words (null, empty) is linked with nothing.  A null id is
     linked with nothing either and stays (component_id null, kept true).  Rows
@@ -180,7 +180,7 @@ def near_duplicates(df: DataFrame, params: NearDup = NearDup(), id_col: str = "d
     their own texts.  Other columns are not looked at.
     """
     p = params
-    docs = df.selectExpr(f"cast(`{id_col}` as bigint) doc_id", f"`{text_col}` text")
+    docs = df.selectExpr(f"cast(`{id_col}` as bigint) doc_id", f"`{text_col}` text", f"xxhash64(`{text_col}`) text_hash")
     signed = saved(_signed(docs, p), "signed")
     linked = signed.where("n_shingles > 0 and doc_id is not null")
     classes = saved(linked.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), "classes")
@@ -190,7 +190,7 @@ def near_duplicates(df: DataFrame, params: NearDup = NearDup(), id_col: str = "d
     buckets = members.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("hub")).where("size > 1")
     shared = saved(members.join(buckets, "key"), "buckets")
     tested = saved(shared.where("hub <> rep").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
-    texts = docs.where("doc_id is not null")
+    texts = docs.where("doc_id is not null").drop("text_hash")
     links = saved(_confirmed(tested, sizes, texts, p), "confirmed")
     labels = components(links)
     done = 0
@@ -213,9 +213,28 @@ def near_duplicates(df: DataFrame, params: NearDup = NearDup(), id_col: str = "d
             break
         tested = tested.union(fresh)
     named = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("label", "rep").alias("least"))
-    out = signed.select("doc_id", "n_shingles", "h1", "h2").join(named, ["h1", "h2"], "left")
+    out = signed.select("doc_id", "n_shingles", "h1", "h2", "text_hash").join(named, ["h1", "h2"], "left")
     own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("least")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), own.eqNullSafe(F.col("doc_id")).alias("kept"))
+    return out.select("doc_id", "n_shingles", own.alias("component_id"), own.eqNullSafe(F.col("doc_id")).alias("kept"), "text_hash")
+
+
+def drop_copies(df: DataFrame, params: NearDup = NearDup(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df``, all columns as they are, less all but one of each group.
+
+    Of rows that repeat an id and text one stays.  Rows without an id and rows
+    without words stay, for nothing links them.
+    """
+    verdicts = saved(near_duplicates(df, params, id_col, text_col), "verdicts")
+    kept = verdicts.where("kept").groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"))
+    once, more = (kept.where(x).toDF("_kept_id", "_kept_hash", "_n").drop("_n") for x in ("n = 1 or doc_id is null", "n > 1 and doc_id is not null"))
+
+    def these(ids: DataFrame) -> DataFrame:
+        mine = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_kept_id")) & F.xxhash64(F.col(f"`{text_col}`")).eqNullSafe(F.col("_kept_hash"))
+        return df.join(ids, mine, "left_semi")
+
+    if more.isEmpty():
+        return these(once)
+    return these(once).unionByName(these(more).dropDuplicates([id_col, text_col]))
 
 
 def _stars(rest: DataFrame, p: NearDup, done: int) -> DataFrame:
