@@ -105,13 +105,14 @@ def fit(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grades: np.ndarr
     return w, np.concatenate([[free[0]], free[0] + np.cumsum(np.exp(free[1:]))])
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000, picked: int = 2_000, least: int = 5, good_loss: float = 0.002) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000, picked: int = 500, good_loss: float = 0.001) -> ToxicityModel:
     """Fit on at most ``sample`` labelled rows, the first by a hash of doc_id.
 
-    Equal texts count once.  A feature is picked when ``least`` toxic texts or
-    more have it and they are most of the texts that have it; of those, the
-    ``picked`` with the greatest log odds.  The threshold on P(grade > 0)
-    lets at most ``good_loss`` of the clean labelled rows be called toxic.
+    Equal texts count once.  A feature is picked when, even at the lower end of
+    what its counts allow, about half of the texts that have it are toxic; of
+    those, the ``picked`` that most toxic texts have.  The threshold on
+    P(grade > 0) lets at most ``good_loss`` of the clean labelled rows be called
+    toxic.
     """
     order = F.xxhash64(F.col("doc_id"), F.lit(9))
     ids = labels.where("toxic is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
@@ -131,8 +132,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000, picked: int
         return step
 
     odds = map_batches(mine.select("text", "toxic"), distinct, "hash long, toxic long").groupBy("hash").agg(F.sum("toxic").alias("bad"), F.count("*").alias("all"))
-    odds = odds.where(F.col("bad") >= least).where(F.col("bad") * 2 > F.col("all"))
-    top = odds.orderBy(F.desc(F.log((F.col("bad") + 0.5) / (F.col("all") - F.col("bad") + 0.5)) + F.log("bad")), "hash").limit(picked).toPandas()
+    share, z = F.col("bad") / F.col("all"), 2.2
+    least_share = (share + z * z / 2 / F.col("all") - z * F.sqrt(share * (1 - share) / F.col("all") + z * z / 4 / F.col("all") ** 2)) / (1 + z * z / F.col("all"))
+    top = odds.where((F.col("bad") * 2 > F.col("all")) & (least_share > 0.45)).orderBy(F.desc("bad"), "all", "hash").limit(picked).toPandas()
     picker = Picker(top["hash"].to_numpy(np.int64).view(np.uint64))
 
     def hits():
