@@ -24,7 +24,7 @@ from leafmill.llm.words import words_of
 
 #: Bytes that end a word: all of ASCII but letters and the apostrophe.
 GAPS = np.array([b < 128 and not (65 <= b <= 90 or 97 <= b <= 122 or b == 39) for b in range(256)])
-PREFIXES: list[int | None] = [None, 4, 5, 6, 8, 10]
+PREFIXES: list[int | None] = [None, 4, 5, 6, 7, 8]
 _SLOTS = 1 << 20
 
 
@@ -105,14 +105,14 @@ def fit(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grades: np.ndarr
     return w, np.concatenate([[free[0]], free[0] + np.cumsum(np.exp(free[1:]))])
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000, picked: int = 500, good_loss: float = 0.001) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000, picked: int = 500, good_loss: float = 0.002) -> ToxicityModel:
     """Fit on at most ``sample`` labelled rows, the first by a hash of doc_id.
 
     Equal texts count once.  A feature is picked when, even at the lower end of
     what its counts allow, about half of the texts that have it are toxic; of
     those, the ``picked`` that most toxic texts have.  The threshold on
-    P(grade > 0) lets at most ``good_loss`` of the clean labelled rows be called
-    toxic.
+    P(grade > 0) is a half, or less where that calls at most ``good_loss`` of the
+    clean labelled rows toxic.
     """
     order = F.xxhash64(F.col("doc_id"), F.lit(9))
     ids = labels.where("toxic is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
@@ -160,7 +160,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000, picked: int
     weights, cuts = fit(rows, cols, np.log1p(many), grades, len(picker.picked))
     score = np.bincount(rows, weights[cols] * np.log1p(many), len(got))
     p = 1 / (1 + np.exp(-np.clip(score - cuts[0], -40, 40)))
-    return ToxicityModel(picker, weights, cuts, min(0.9, calibrate(p, toxic, good_loss)))
+    return ToxicityModel(picker, weights, cuts, min(0.5, calibrate(p, toxic, good_loss)))
 
 
 SCHEMA = "doc_id long, severity double, grade int, p_toxic double, toxic boolean, kept boolean"
