@@ -1,7 +1,7 @@
 """Checks of Markdown documents: what looks damaged, how badly, and where.
 
-Each check is a count within a row's own lines, so an audit of a corpus is one
-pass without a shuffle; only the report over documents aggregates.
+Lines are looked at with their neighbours in one partitioning by document;
+every check is then a sum over flags, combined before it is shuffled.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as T
+from leafmill.operators import lines as L
 from leafmill.operators.lines import split_lines
 
 #: How much each check weighs.
@@ -34,86 +35,78 @@ PRIORITY = {
 CELLS = r"\|"
 
 
-def _count(lines: Column, test) -> Column:
-    return F.size(F.filter(lines, test))
-
-
-def _outside(lines: Column) -> Column:
-    """Structs of each line outside fences, with what stands before and after it; fences are gone."""
-    start = F.struct(F.array().cast("array<boolean>").alias("inside"), F.lit(False).alias("open"))
-    inside = F.aggregate(lines, start, lambda a, x: F.struct(F.concat(a["inside"], F.array(a["open"] | x.startswith("```"))).alias("inside"), F.when(x.startswith("```"), ~a["open"]).otherwise(a["open"]).alias("open")), lambda a: a["inside"])
-    rows = F.transform(F.arrays_zip(lines.alias("line"), inside.alias("inside")), lambda x, i: F.struct(x["line"].alias("line"), x["inside"].alias("inside"), F.get(lines, i + 1).alias("next")))
-    return F.filter(rows, lambda x: ~x["inside"])
-
-
-def issues(docs: DataFrame) -> DataFrame:
-    """``doc_id, issues``: a map of each check that fires to how often."""
-    rows = docs.where("text is not null").select("doc_id", "text", split_lines(F.col("text")).alias("lines"))
-    rows = rows.withColumn("plain", _outside(F.col("lines"))).withColumn("prose_lines", F.transform("plain", lambda x: x["line"]))
-    lines, plain = F.col("lines"), F.col("plain")
-    headings = F.transform(F.filter("prose_lines", lambda x: x.rlike("^#{1,6} ")), lambda x: F.struct(F.length(F.regexp_extract(x, "^(#+)", 1)).alias("level"), F.lower(F.trim(F.regexp_replace(x, "^#+ +", ""))).alias("title")))
-    rows = rows.withColumn("headings", headings)
-    levels = F.transform("headings", lambda h: h["level"])
-    titles = F.filter(F.transform("headings", lambda h: h["title"]), lambda t: ~t.isin("references", "notes"))
-    prose = F.filter("prose_lines", lambda x: (F.trim(x) != "") & ~x.rlike(r"^\s*([#>|]|[-*+] |\d+[.)] |!\[)"))
-    short = _count(prose, lambda x: (F.length(x) < 45) & ~F.rtrim(x).rlike("[.!?:;…\"')”’]$"))
-    checks = {
-        "replacement_chars": _count(lines, lambda x: x.contains("�")),
-        "private_use_chars": _count(lines, lambda x: x.rlike(r"[\x{E000}-\x{F8FF}]")),
-        "broken_text_layer": T.broken_text(F.col("text")).isNotNull().cast("int"),
-        "unclosed_fence": _count(lines, lambda x: x.startswith("```")) % 2,
-        "heading_jump": _count(F.sequence(F.lit(1), F.greatest(F.size(levels), F.lit(1))), lambda i: F.get(levels, i) > F.get(levels, i - 1) + 1),
-        "duplicate_heading": _count(F.array_distinct(titles), lambda t: F.size(F.filter(titles, lambda u: u == t)) >= 4),
-        "standalone_page_number": _count(plain, lambda x: x["line"].rlike(r"^\s*\d{1,4}\s*$")),
-        "possible_broken_hyphen": _count(plain, lambda x: x["line"].rlike(r"\p{L}-$") & x["next"].rlike(r"^\p{Ll}")),
-        "malformed_table": _malformed(F.col("prose_lines")),
-        "excess_blank_lines": _count(plain, lambda x: (F.trim(x["line"]) == "") & (F.trim(x["next"]) == "")),
-        "trailing_whitespace": _count(plain, lambda x: x["line"].rlike(r"\S[ \t]$") & ~x["line"].endswith("  ")),
-        "short_prose_fragment": F.when((F.size(prose) >= 20) & (short > 0.22 * F.size(prose)), short).otherwise(0),
+def line_flags(docs: DataFrame) -> DataFrame:
+    """Each line with its neighbours: fence, heading level and title, table cells."""
+    c, w = F.col("text"), L.by_doc()
+    mark = c.startswith("```")
+    rows = L.lines_of(docs).withColumn("fences", F.sum(mark.cast("int")).over(L.so_far())).withColumn("next", F.lead("text").over(w))
+    rows = rows.withColumn("mark", mark).withColumn("plain", (F.col("fences") % 2 == 0) & ~mark)
+    level = F.when(F.col("plain") & c.rlike("^#{1,6} "), F.length(F.regexp_extract(c, "^(#+)", 1)))
+    rows = rows.withColumn("level", level).withColumn("before", F.last("level", ignorenulls=True).over(L.above()))
+    row = F.col("plain") & F.trim(c).startswith("|")
+    return rows.withColumn("row", row).withColumn("run", F.sum((~row).cast("int")).over(L.so_far()))
+
+
+def exploded(docs: DataFrame) -> DataFrame:
+    """``doc_id, check, n``: a row for each check that fires in a document, with how often."""
+    docs = docs.where("text is not null").select("doc_id", "text")
+    rows, c = line_flags(docs), F.col("text")
+    plain = F.col("plain")
+    prose = plain & (F.trim(c) != "") & ~c.rlike(r"^\s*([#>|]|[-*+] |\d+[.)] |!\[)")
+    short = prose & (F.length(c) < 45) & ~F.rtrim(c).rlike("[.!?:;…\"')”’]$")
+    flags = {
+        "replacement_chars": c.contains("\ufffd"),
+        "private_use_chars": c.rlike(r"[\x{E000}-\x{F8FF}]"),
+        "heading_jump": F.col("level") > F.col("before") + 1,
+        "standalone_page_number": plain & c.rlike(r"^\s*\d{1,4}\s*$"),
+        "possible_broken_hyphen": plain & c.rlike(r"\p{L}-$") & F.col("next").rlike(r"^\p{Ll}"),
+        "excess_blank_lines": plain & (F.trim(c) == "") & (F.trim("next") == ""),
+        "trailing_whitespace": plain & c.rlike(r"\S[ \t]$") & ~c.endswith("  "),
+        "unclosed_fence": F.col("mark"),
+        "_prose": prose,
+        "_short": short,
     }
+    sums = rows.groupBy("doc_id").agg(*[F.sum(F.coalesce(f, F.lit(False)).cast("int")).alias(k) for k, f in flags.items()])
+    found = {k: F.col(k) for k in flags if k[0] != "_"} | {
+        "unclosed_fence": F.col("unclosed_fence") % 2,
+        "short_prose_fragment": F.when((F.col("_prose") >= 20) & (F.col("_short") > 0.22 * F.col("_prose")), F.col("_short")).otherwise(0),
+    }
+    lines = _long(sums, found)
+    heads = rows.where("level is not null").groupBy("doc_id", F.lower(F.trim(F.regexp_replace(c, "^#+ +", ""))).alias("title")).agg(F.count("*").alias("k"))
+    heads = heads.where((F.col("k") >= 4) & ~F.col("title").isin("references", "notes")).groupBy("doc_id").agg(F.count("*").alias("n"))
+    cells = rows.where("row").groupBy("doc_id", "run", F.regexp_count(c, F.lit(r"(?<!\\)\|")).alias("cells")).agg(F.count("*").alias("k"), F.max(F.col("next").isNull()).alias("last"))
+    runs = cells.groupBy("doc_id", "run").agg((F.sum("k") - F.max("k")).alias("bad"), F.max("last").alias("last")).where("not last").groupBy("doc_id").agg(F.sum("bad").alias("n"))
+    whole = {"broken_text_layer": T.broken_text(c).isNotNull().cast("int")}
     for name, most in (("title", 240), ("subtitle", 300)):
-        value = T.yaml_field(F.col("text"), name)
-        checks[f"corrupt_{name}_spacing"] = (T.spaced_glyphs(value) >= 4).cast("int")
-        checks[f"implausible_{name}_length"] = ((F.length(value) > most) | (T.words(value) > 40)).cast("int")
-    found = F.map_from_arrays(F.array(*map(F.lit, checks)), F.array(*[c.cast("int") for c in checks.values()]))
-    return rows.select("doc_id", F.map_filter(found, lambda k, v: v > 0).alias("issues"))
-
-
-def _malformed(lines: Column) -> Column:
-    """Rows of a table whose cells are not as many as most of its rows have.
-
-    A table that the text ends in is not looked at.
-    """
-    start = F.struct(F.array().cast("array<int>").alias("run"), F.lit(0).alias("bad"))
-
-    def add(acc: Column, line: Column) -> Column:
-        row = F.trim(line).startswith("|")
-        cells = F.regexp_count(line, F.lit(r"(?<!\\)\|")).cast("int")
-        return F.struct(F.when(row, F.concat(acc["run"], F.array(cells))).otherwise(F.array().cast("array<int>")).alias("run"), (acc["bad"] + F.when(row, 0).otherwise(_odd(acc["run"]))).alias("bad"))
-
-    return F.aggregate(lines, start, add, lambda acc: acc["bad"])
+        value = T.yaml_field(c, name)
+        whole[f"corrupt_{name}_spacing"] = (T.spaced_glyphs(value) >= 4).cast("int")
+        whole[f"implausible_{name}_length"] = ((F.length(value) > most) | (T.words(value) > 40)).cast("int")
+    out = lines.unionByName(_long(docs, whole))
+    for name, part in (("duplicate_heading", heads), ("malformed_table", runs)):
+        out = out.unionByName(part.select("doc_id", F.lit(name).alias("check"), F.col("n").cast("int").alias("n")))
+    return out.where("n > 0")
 
 
-def _odd(run: Column) -> Column:
-    """How many values differ from the most frequent (of equals the first)."""
-    most = F.array_max(F.transform(run, lambda x: F.size(F.filter(run, lambda y: y == x))))
-    return F.when(F.size(run) > 0, F.size(run) - most).otherwise(0)
+def _long(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    pairs = F.array(*[F.struct(F.lit(k).alias("check"), v.cast("int").alias("n")) for k, v in columns.items()])
+    return df.select("doc_id", F.inline(pairs))
 
 
-def exploded(found: DataFrame) -> DataFrame:
-    return found.select("doc_id", F.explode("issues").alias("check", "n"))
+def issues(found: DataFrame) -> DataFrame:
+    """``doc_id, issues``: the checks of a document as one map."""
+    pairs = F.array_sort(F.collect_list(F.struct("check", "n")))
+    return found.groupBy("doc_id").agg(F.map_from_entries(pairs).alias("issues"))
 
 
 def scores(found: DataFrame, most: int = 10) -> DataFrame:
-    """Adds ``score``: each check's priority times its count, of which ``most`` count."""
+    """``doc_id, score``: each check's priority times its count, of which ``most`` count."""
     weights = F.create_map(*[F.lit(v) for kv in PRIORITY.items() for v in kv])
-    each = F.transform(F.map_entries("issues"), lambda e: F.element_at(weights, e["key"]) * F.least(e["value"], F.lit(most)))
-    return found.withColumn("score", F.aggregate(each, F.lit(0), lambda a, x: a + x))
+    return found.groupBy("doc_id").agg(F.sum(F.element_at(weights, F.col("check")) * F.least("n", F.lit(most))).cast("int").alias("score"))
 
 
 def totals(found: DataFrame) -> DataFrame:
     """Over all documents: how often each check fires, and in how many."""
-    return exploded(found).groupBy("check").agg(F.sum("n").alias("n"), F.count("*").alias("n_docs"))
+    return found.groupBy("check").agg(F.sum("n").alias("n"), F.count("*").alias("n_docs"))
 
 
 def worst(scored: DataFrame, top: int = 50) -> DataFrame:

@@ -177,17 +177,17 @@ def regime_fill(docs):
 
 @query("documents")
 def audit_checks(docs):
-    return audit.exploded(audit.issues(L.as_markdown(docs)))
+    return audit.exploded(L.as_markdown(docs))
 
 
 @query("documents")
 def audit_totals(docs):
-    return audit.totals(audit.issues(L.as_markdown(docs)))
+    return audit.totals(audit.exploded(L.as_markdown(docs)))
 
 
 @query("documents")
 def audit_worst(docs):
-    return audit.worst(audit.scores(audit.issues(L.as_markdown(docs))))
+    return audit.worst(audit.scores(audit.exploded(L.as_markdown(docs))))
 
 
 @query("documents", "benchmark")
