@@ -157,13 +157,12 @@ def font_class(font: Column) -> Column:
 
 def broken_text(c: Column, least: int = 2000) -> Column:
     """Why a text layer is unreadable, or null: too few letters, words without vowels, words run together."""
-    some = F.greatest(F.length(F.regexp_replace(c, SPACES, "")), F.lit(1))
-    letters = F.regexp_count(c, F.lit(r"\p{L}"))
-    found = F.regexp_extract_all(c, F.lit("([A-Za-z]+)"), F.lit(1))
-    ascii_share = F.length(F.regexp_replace(c, "[^A-Za-z]", "")) / some
-    n = F.size(found)
-    mute = F.size(F.filter(found, lambda w: ~w.rlike("(?i)[aeiouy]"))) / F.greatest(n, F.lit(1))
-    long = F.size(F.filter(found, lambda w: F.length(w) > 24)) / F.greatest(n, F.lit(1))
+    some = F.greatest(F.length(F.regexp_replace(c, SPACES + "+", "")), F.lit(1))
+    letters = F.length(F.regexp_replace(c, r"[^\p{L}]+", ""))
+    ascii_share = F.length(F.regexp_replace(c, "[^A-Za-z]+", "")) / some
+    n = F.regexp_count(c, F.lit("[A-Za-z]+"))
+    mute = F.regexp_count(c, F.lit("(?i)(?<![a-z])[b-df-hj-np-tv-xz]+(?![a-z])")) / F.greatest(n, F.lit(1))
+    long = F.regexp_count(c, F.lit("[A-Za-z]{25,}")) / F.greatest(n, F.lit(1))
     return (
         F.when(F.length(c) < least, F.lit(None).cast("string"))
         .when(letters / some < 0.3, "few letters")
