@@ -125,7 +125,7 @@ def evaluate(docs: DataFrame, checks: DataFrame) -> DataFrame:
     order = F.expr("aggregate(texts, struct(1 as at, true as ok), (a, p) -> struct(cast(locate(lower(p), lower(coalesce(text, '')), a.at) + length(p) as int) as at, a.ok and locate(lower(p), lower(coalesce(text, '')), a.at) > 0 as ok), a -> a.ok)")
     lines = split_lines(body)
     heading = F.exists(lines, lambda x: x.rlike("^#{1,6} ") & (F.lower(F.trim(F.regexp_replace(x, "^#+ +", ""))) == F.lower(first)) & (F.col("level").isNull() | (F.length(F.regexp_extract(x, "^(#+)", 1)) == F.col("level"))))
-    cells = F.exists(lines, lambda x: F.trim(x).startswith("|") & (F.transform(F.filter(F.split(F.regexp_replace(F.trim(x), r"^\||\|$", ""), CELLS), lambda c: F.lit(True)), F.trim) == F.col("texts")))
+    cells = F.exists(lines, lambda x: F.trim(x).startswith("|") & (F.transform(F.split(F.regexp_replace(F.trim(x), r"^\||\|$", ""), CELLS), lambda c: F.trim(c)) == F.col("texts")))
     passed = F.when(F.col("kind") == "contains", body.contains(first)).when(F.col("kind") == "absent", ~body.contains(first)).when(F.col("kind") == "count", times == F.col("count")).when(F.col("kind") == "order", order).when(F.col("kind") == "heading", heading).when(F.col("kind") == "table_row", cells)
     joined = checks.join(docs.select("doc_id", "text"), "doc_id", "left")
     return joined.select(*checks.columns, F.coalesce(passed & F.col("text").isNotNull(), F.lit(False)).alias("passed"))
