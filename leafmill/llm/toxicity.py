@@ -26,6 +26,8 @@ from leafmill.llm.words import words_of
 GAPS = np.array([b < 128 and not (65 <= b <= 90 or 97 <= b <= 122 or b == 39) for b in range(256)])
 PREFIXES: list[int | None] = [None, 4, 5, 6, 7, 8]
 _SLOTS = 1 << 20
+#: Over how many tasks the bounded sample is spread; ``limit`` leaves it in one.
+TASKS = 24
 
 
 class Picker:
@@ -118,8 +120,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000, picked: int
     ids = labels.where("toxic is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     ids = ids.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(order, "doc_id").limit(sample)
     mine = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id")
-    mine = saved(mine.where("text is not null").groupBy(F.sha2("text", 256).alias("sha")).agg(F.max("toxic").alias("toxic"), F.first("text").alias("text")).drop("sha"), "toxic-sample")
-    mine = mine.limit(sample)
+    mine = saved(mine.where("text is not null").groupBy(F.sha2("text", 256).alias("sha")).agg(F.max("toxic").alias("toxic"), F.first("text").alias("text")).drop("sha").limit(sample).repartition(TASKS), "toxic-sample")
 
     def distinct():
         def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
