@@ -6,7 +6,8 @@ that any two texts look in the same order.  Texts that agree in a band share a
 bucket.  A bucket gives each member one candidate edge, to its smallest member:
 a star, so edges grow with rows and not with pairs.  Edges are confirmed on the
 full sets.  Where a bucket still holds texts of different groups, further stars
-with other centres follow, and in small buckets every pair between the groups.
+with other centres follow, and then every pair between the groups: in small
+buckets one by one, in larger ones by what each text and the hub do not share.
 """
 
 from __future__ import annotations
@@ -16,10 +17,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import map_batches, saved, slices
+from leafmill.llm.common import map_batches, saved, slices, workers_see_us
 from leafmill.llm.components import components
 from leafmill.llm.words import mix, shingle_sets, stream, words_of
 
@@ -31,8 +32,9 @@ class NearDup:
     A pair at the threshold of 0.85 shares none of the 40 bands of 7 with a
     chance of 2e-7.  ``small`` is the bucket size up to which, after the first
     star, all pairs between different groups are confirmed; larger buckets get
-    stars around ``centres`` further members a round instead, for as long as a
-    round finds links, ``rounds`` at least.
+    stars around ``centres`` further members a round first, for as long as a
+    round finds links, ``rounds`` at least, and the pairs still between
+    different groups are then compared in blocks of about ``block`` members.
     """
 
     words: int = 5
@@ -42,6 +44,7 @@ class NearDup:
     small: int = 16
     centres: int = 2
     rounds: int = 2
+    block: int = 1024
 
 
 class Signer:
@@ -141,6 +144,11 @@ def _sets(docs: DataFrame, p: NearDup, near: np.ndarray) -> DataFrame:
     return map_batches(docs, make, "id long, hashes binary")
 
 
+def _sets_of(ids: DataFrame, docs: DataFrame, p: NearDup) -> DataFrame:
+    ids = saved(ids.toDF("doc_id").distinct(), "candidates")
+    return saved(_sets(docs, p, _filter(ids)).join(ids.withColumnRenamed("doc_id", "id"), "id", "left_semi"), "sets")
+
+
 def _confirmed(pairs: DataFrame, sizes: DataFrame, docs: DataFrame, p: NearDup) -> DataFrame:
     """The pairs ``a, b`` whose full sets are similar enough.
 
@@ -151,9 +159,7 @@ def _confirmed(pairs: DataFrame, sizes: DataFrame, docs: DataFrame, p: NearDup)
     pairs = saved(pairs.where(f"100 * least(na, nb) >= {p.percent} * greatest(na, nb)").select("a", "b"), "sized")
     if pairs.isEmpty():
         return pairs
-    ids = saved(pairs.select("a").union(pairs.select("b")).toDF("doc_id").distinct(), "candidates")
-    sets = _sets(docs, p, _filter(ids)).join(ids.withColumnRenamed("doc_id", "id"), "id", "left_semi")
-    sets = saved(sets, "sets")
+    sets = _sets_of(pairs.select("a").union(pairs.select("b")), docs, p)
     both = pairs.join(sets.toDF("b", "of_b"), "b").join(sets.toDF("a", "of_a"), "a").select("a", "b", "of_a", "of_b")
 
     def make():
@@ -195,10 +201,10 @@ def near_duplicates(df: DataFrame, params: NearDup = NearDup(), id_col: str = "d
     labels = components(links)
     done = 0
     while True:
-        labelled = shared.select("key", "rep", "size").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+        labelled = shared.select("key", "rep", "size", "hub").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
         mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
         rest = saved(labelled.join(mixed, "key", "left_semi").distinct(), "mixed")
-        pairs = _stars(rest.where(f"size > {p.small}"), p, done)
+        pairs = _stars(rest.where(f"size > {p.small}").drop("hub"), p, done)
         if not done:
             x, y = rest.where(f"size <= {p.small}").alias("x"), rest.alias("y")
             small = x.join(y, F.expr("x.key = y.key and x.rep < y.rep and x.label <> y.label")).selectExpr("x.rep a", "y.rep b")
@@ -212,6 +218,9 @@ def near_duplicates(df: DataFrame, params: NearDup = NearDup(), id_col: str = "d
         if not found and done >= p.rounds:
             break
         tested = tested.union(fresh)
+    last = _between(rest.where(f"size > {p.small}").select("hub", "rep", "label").distinct(), texts, p)
+    if last is not None and not last.isEmpty():
+        labels = components(links.union(last))
     named = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("label", "rep").alias("least"))
     out = signed.select("doc_id", "n_shingles", "h1", "h2", "text_hash").join(named, ["h1", "h2"], "left")
     own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("least")).otherwise(F.col("doc_id"))
@@ -247,3 +256,119 @@ def _stars(rest: DataFrame, p: NearDup, done: int) -> DataFrame:
         star = rest.join(centres.join(whose, ["key", "hub"]), "key").where("label <> own").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
         out = star if out is None else out.union(star)
     return out
+
+
+def _between(members: DataFrame, docs: DataFrame, p: NearDup) -> DataFrame | None:
+    """Links ``a, b`` that join all groups with a link between members of one hub.
+
+    With D the elements that a text or the hub has and not both, two texts
+    differ by |Dx| + |Dy| - 2 |Dx & Dy|.  Texts of different groups are not
+    both linked to the hub, and then a link between them takes a common element
+    of D, at least as many as ``_differences`` says.  So each has one among the
+    first of its D in any fixed order; the order here puts those first that no
+    other group has, then the rarer ones.  Texts without one are left out, and
+    the rest are compared, each with each, on what of D other groups have.
+    """
+    members = saved(members, "members")
+    if members.isEmpty():
+        return None
+    sets = _sets_of(members.select("rep"), docs, p)
+    both = members.join(sets.toDF("rep", "of_rep"), "rep").join(sets.toDF("hub", "of_hub"), "hub")
+    diffs = saved(_differences(both, p), "differences")
+    spread = diffs.select("pivot", "row", "label", "d", "far", "strong", "weak", F.explode("diff").alias("e"))
+    useful = spread.groupBy("pivot", "e").agg(F.count("*").alias("n_e"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").drop("low", "high")
+    own = Window.partitionBy("pivot", "row")
+    at = F.col("d") - F.count("*").over(own) + F.row_number().over(own.orderBy("n_e", "e"))
+    ranked = saved(spread.join(useful, ["pivot", "e"]).withColumn("at", at), "ranked")
+    # A list serves two far texts by their strong parts, or a far one and a near one's strong part.
+    lists = ranked.where("at <= weak").groupBy("pivot", "e").agg(
+        F.expr("min(label) filter (where far and at <= strong)").alias("low"),
+        F.expr("max(label) filter (where far and at <= strong)").alias("high"),
+        F.expr("bool_or(not far) and bool_or(far)").alias("crossed"),
+    )
+    lists = lists.where("low < high or crossed").select("pivot", "e")
+    active = ranked.where("at <= weak").join(lists, ["pivot", "e"], "left_semi").select("pivot", "row").distinct()
+    parts = ranked.groupBy("pivot", "row").agg(F.collect_list("e").alias("diff")).join(active, ["pivot", "row"])
+    rows = saved(parts.join(diffs.drop("diff", "far", "strong", "weak"), ["pivot", "row"]).distinct(), "active")
+    share = F.greatest(F.ceil(F.count("*") / p.block), F.ceil(F.sum(F.size("diff")) / (p.block << 9))).cast("int")
+    dealt = rows.join(rows.groupBy("pivot").agg(share.alias("blocks")), "pivot").withColumn("mine", F.expr("cast(pmod(xxhash64(row), blocks) as int)"))
+    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
+    workers_see_us(docs.sparkSession)
+    cells = dealt.select("pivot", "i", "j", "mine", "rep", "label", "n", "d", "diff").groupBy("pivot", "i", "j")
+    return saved(cells.applyInArrow(lambda cell: _compared(cell, p.percent), "a long, b long").distinct(), "between")
+
+
+def _differences(both: DataFrame, p: NearDup) -> DataFrame:
+    """D of each ``rep`` to its ``hub``, and how many of its first elements count.
+
+    With q = 100 - percent and Q = 100 + percent, a pair is linked if Q times
+    what it differs by is at most q times its sizes' sum.  ``far``: not linked
+    to the hub.  ``strong`` first elements of D hold a common one if the other
+    text is far, ``weak`` whatever the other text is.
+    """
+
+    def make():
+        q, big = 100 - p.percent, 100 + p.percent
+
+        def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            out = []
+            for rep, label, x, h in zip(batch.column("rep").to_pylist(), batch.column("label").to_pylist(), batch.column("of_rep"), batch.column("of_hub"), strict=True):
+                x, h = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(h.as_buffer(), np.uint64)
+                diff = np.setxor1d(x, h, assume_unique=True)
+                n, d = len(x), len(diff)
+                excess, far = big * d - q * n, big * d - q * n > q * len(h)
+                need = -(-(excess + q * len(h) + 1) // (2 * big))
+                least = -(-(excess - q * len(h)) // 200) if far else need
+                with np.errstate(over="ignore"):
+                    pivot, row = (mix(mix(s).sum(dtype=np.uint64, keepdims=True)).view(np.int64)[0] for s in (h, x))
+                out.append((int(pivot), int(row), rep, label, n, d, far, d - max(need, least) + 1, d - least + 1, diff.view(np.int64)))
+            yield pa.record_batch([pa.array(list(c)) if k < 9 else pa.array(list(c), pa.list_(pa.int64())) for k, c in enumerate(zip(*out, strict=True))], ["pivot", "row", "rep", "label", "n", "d", "far", "strong", "weak", "diff"])
+
+        return step
+
+    return map_batches(both, make, "pivot long, row long, rep long, label long, n long, d long, far boolean, strong long, weak long, diff array<long>")
+
+
+def _compared(cell: pa.Table, percent: int) -> pa.Table:
+    """Links between the two blocks of a cell, one for each two groups they join."""
+    mine, rep, label, n, d = (cell.column(c).to_numpy() for c in ("mine", "rep", "label", "n", "d"))
+    lists = cell.column("diff").combine_chunks()
+    row, values = np.repeat(np.arange(len(rep)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()
+    if (i := cell.column("i")[0].as_py()) == (j := cell.column("j")[0].as_py()):
+        left = right = np.arange(len(rep))
+    else:
+        left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
+    place = np.zeros(len(rep), np.int64)
+    place[left] = np.arange(len(left))
+    place[right] = np.arange(len(right))
+    at = np.unique(values, return_inverse=True)[1]
+    order = np.argsort(at, kind="stable")
+    row, at = row[order], at[order]
+    common = np.zeros((len(left), len(right)), np.float32)
+    for start in range(0, int(at[-1]) + 1 if len(at) else 0, 2048):
+        a, b = np.searchsorted(at, [start, start + 2048])
+        which, column = row[a:b], at[a:b] - start
+        sides = []
+        for size, own in ((len(left), mine[which] == i), (len(right), mine[which] == j)):
+            side = np.zeros((size, 2048), np.float32)
+            side[place[which[own]], column[own]] = 1
+            sides.append(side)
+        common += sides[0] @ sides[1].T
+    apart = d[left][:, None] + d[right][None] - 2 * common.astype(np.int64)
+    linked = ((100 + percent) * apart <= (100 - percent) * (n[left][:, None] + n[right][None])) & (label[left][:, None] != label[right][None])
+    top: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := top.get(x, x)) != x:
+            top[x] = top.get(up, up)
+            x = up
+        return x
+
+    out = []
+    for x, y in np.argwhere(linked).tolist():
+        x, y = left[x], right[y]
+        a, b = root(int(label[x])), root(int(label[y]))
+        if a != b:
+            top[max(a, b)] = min(a, b)
+            out.append((min(rep[x], rep[y]), max(rep[x], rep[y])))
+    return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})

@@ -67,6 +67,28 @@ def test_chains_and_large_buckets(spark):
         assert as_dict(minhash.near_duplicates(df)) == brute(rows)
 
 
+def templated(rng, n=300, pairs=40, words=400, edits=4):
+    """One template's texts, most below the threshold to each other, with pairs above it."""
+    base, out, fresh = [f"t{i}" for i in range(words)], [], iter(range(10**6))
+    for i in range(n):
+        places = rng.sample(range(0, words, 5), edits)
+        text = [f"u{next(fresh)}" if p in places else w for p, w in enumerate(base)]
+        out.append(" ".join(text))
+        if i < pairs:
+            others = [places[0], *rng.sample([p for p in range(0, words, 5) if p not in places], edits - 1)]
+            out.append(" ".join(text[p] if p == places[0] else f"u{next(fresh)}" if p in others else w for p, w in enumerate(base)))
+    rng.shuffle(out)
+    return list(enumerate(out))
+
+
+def test_all_pairs_of_a_large_templated_group(spark):
+    rows = templated(random.Random(3))
+    want = brute(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for params in (minhash.NearDup(), minhash.NearDup(block=50)):
+        assert as_dict(minhash.near_duplicates(df, params)) == want
+
+
 def test_edges(edges, empty):
     rows = minhash.near_duplicates(edges).collect()
     assert len(rows) == edges.count()
