@@ -1,9 +1,11 @@
 """Byte-level BPE: encoding and decoding whole texts, with exact ids.
 
-The tokenizers library does the merging.  Two caches stand before it: one from
-what lies between two spaces to its ids, one from a pre-token to its ids.  A
-space before anything but white space can only open a pre-token, so a text cut
-there gives the same pre-tokens as the whole text; no other space is a cut.
+The tokenizers library does the merging.  Texts are cut only where a pre-token
+surely begins, so the pieces give the same pre-tokens as the whole text: at a
+space before anything but white space, round a lone newline, and where ASCII
+punctuation follows a letter.  ``BatchEncoder`` does that for whole Arrow columns
+in numpy and looks each piece up by its hash; only pieces not met before are
+Python strings.  ``CachedEncoder`` takes one text, with the same rules.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from leafmill.llm.common import map_batches, slices
+from leafmill.llm.words import SPACE, mix, stream, text_bytes
 
 #: Entries of each of a cache's two generations, and the longest key kept.
 CACHE_ROWS, CACHE_KEY = 300_000, 48
@@ -94,7 +97,7 @@ class CachedEncoder:
     """
 
     def __init__(self, pretokens: Callable[[str], Iterable[str]], merge: Callable[[str], list[int]], spaces: bool):
-        self.pretokens, self.spaces = pretokens, spaces
+        self.pretokens, self.merge, self.spaces = pretokens, merge, spaces
         self.words = _Cache(lambda w: array("I", merge(w)).tobytes())
         self.parts = _Cache(self._after_space if spaces else self._bare)
 
@@ -142,6 +145,173 @@ class CachedEncoder:
         return self._cut(parts[0]) + b"".join(map(self.parts.__getitem__, parts[1:]))
 
 
+#: Bytes of positions hashed at once.
+_BLOCK = 1 << 18
+_MULTIPLIER = 0x9E3779B97F4A7C15
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base % 2**64, np.uint64)
+    out[0] = 1
+    with np.errstate(over="ignore"):
+        return np.multiply.accumulate(out)
+
+
+_POWER, _INVERSE = (_powers(b, _BLOCK + CACHE_KEY + 1) for b in (_MULTIPLIER, pow(_MULTIPLIER, -1, 2**64)))
+_VALUE = stream(53, 256) | np.uint64(1)
+_ASCII_LETTER = np.array([chr(b).isascii() and chr(b).isalpha() for b in range(256)])
+_PUNCTUATION = np.array([chr(b) in string.punctuation for b in range(256)])
+#: First bytes of two-byte characters that are letters all but two, U+00D7 and U+00F7.
+_LETTER_LEAD = np.isin(np.arange(256), [0xC3, 0xD0, 0xD1])
+_NO_LETTER = np.isin(np.arange(256), [0x97, 0xB7])
+#: Bytes that may begin or be white space: no cut stands before one of them.
+_BLANK = SPACE | np.isin(np.arange(256), [*range(0x1C, 0x20), 0xC2, 0xE1, 0xE2, 0xE3])
+
+
+class BatchEncoder:
+    """Whole string columns to ids: numpy finds the pieces, a hash table their ids.
+
+    A piece of up to ``CACHE_KEY`` bytes is known by 64 bits of hash and its
+    table has up to ``rows`` entries before it starts anew; a longer one is
+    encoded each time it is met.
+    """
+
+    def __init__(self, encoder: CachedEncoder, rows: int = 1 << 20):
+        self.encoder, self.rows = encoder, rows
+        self.mask = np.uint64((1 << max(1, (2 * rows - 1).bit_length())) - 1)
+        self._forget()
+
+    def _forget(self) -> None:
+        size = int(self.mask) + 1
+        self.keys, self.slots = np.zeros(size, np.uint64), np.zeros(size, np.int32)
+        self.first, self.many, self.entries = np.zeros(1024, np.int64), np.zeros(1024, np.int32), 0
+        self.flat, self.used = np.zeros(4096, "<u4"), 0
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, little-endian unsigned 32-bit, and where each text's begin (and the end)."""
+        data, text = text_bytes(texts)
+        if self.entries >= self.rows:
+            self._forget()
+        starts, ends = self._pieces(data, text)
+        long = np.flatnonzero(ends - starts > CACHE_KEY)
+        entry = self._known(data, starts, ends, long)
+        many = self.many[entry].astype(np.int64)
+        own = {i: np.frombuffer(self._slow(data[starts[i] : ends[i]].tobytes()), "<u4") for i in long.tolist()}
+        many[long] = [len(v) for v in own.values()]
+        place = np.concatenate([[0], np.cumsum(many)])
+        source = np.repeat(self.first[entry] - place[:-1], many)
+        source += np.arange(place[-1])
+        ids = self.flat.take(source, mode="clip")
+        for i, v in own.items():
+            ids[place[i] : place[i + 1]] = v
+        return ids, place[np.searchsorted(starts, text)]
+
+    def _pieces(self, data: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(data):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        begin = np.zeros(len(data) + 1, bool)
+        left, right = data[:-1], data[1:]
+        letter = _ASCII_LETTER[left]
+        high = np.flatnonzero(left >= 0x80)
+        high = high[high > 0]
+        letter[high] = _LETTER_LEAD[data[high - 1]] & ~_NO_LETTER[data[high]]
+        begin[1:-1] = letter & _PUNCTUATION[right]
+        if self.encoder.spaces:
+            calm = ~_BLANK[right]
+            begin[:-2] |= (left == 32) & calm
+            lone = 1 + np.flatnonzero((data[1:-1] == 10) & calm[1:] & (left[:-1] < 0x80) & ~_BLANK[left[:-1]])
+            lone = lone[~np.isin(lone, text) & ~np.isin(lone + 1, text)]
+            begin[lone] = begin[lone + 1] = True
+            begin[text] = True  # a space that ends a text is no piece's first but its own
+            at = np.flatnonzero(begin[:-1])
+            return at, np.append(at[1:], len(data))
+        inside = ~SPACE[data]
+        begin[text] = True
+        begin[1:-1] |= inside[1:] & ~inside[:-1]
+        begin[:-1] &= inside
+        stop = np.zeros(len(data) + 1, bool)
+        stop[1:-1] = inside[:-1] & ~inside[1:]
+        stop[-1] = inside[-1]
+        stop |= begin
+        stop[text] = True
+        at, stops = np.flatnonzero(begin[:-1]), np.flatnonzero(stop)
+        return at, stops[np.searchsorted(stops, at, "right")]
+
+    def _hashes(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        out = np.empty(len(starts), np.uint64)
+        bounds = np.searchsorted(starts, np.arange(0, len(data) + _BLOCK, _BLOCK))
+        with np.errstate(over="ignore"):
+            for k, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+                if a == b:
+                    continue
+                base = k * _BLOCK
+                values = _VALUE[data[base : base + _BLOCK + CACHE_KEY]]
+                values *= _POWER[: len(values)]
+                sums = np.zeros(len(values) + 1, np.uint64)
+                np.cumsum(values, out=sums[1:])
+                s = starts[a:b] - base
+                e = np.minimum(ends[a:b] - base, len(values))  # a longer piece is not looked up
+                out[a:b] = (sums[e] - sums[s]) * _INVERSE[s] + (e - s).astype(np.uint64)
+        return np.maximum(mix(out), np.uint64(1))
+
+    def _known(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, long: np.ndarray) -> np.ndarray:
+        """The entry of each piece; of a long one none, which is 0."""
+        h = self._hashes(data, starts, ends)
+        a = (h & self.mask).astype(np.int64)
+        entry = self.slots[a].astype(np.int64)
+        found = self.keys[a] == h
+        found[long], entry[long] = True, 0
+        lost = np.flatnonzero(~found)
+        if len(lost):
+            b = ((h[lost] >> np.uint64(32)) & self.mask).astype(np.int64)
+            entry[lost] = self.slots[b]
+            lost = lost[self.keys[b] != h[lost]]
+        if len(lost):
+            fresh, which, back = np.unique(h[lost], return_index=True, return_inverse=True)
+            at = lost[which]
+            entry[lost] = self._add(fresh, [data[s:e].tobytes() for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])[back]
+        return entry
+
+    def _add(self, keys: np.ndarray, pieces: list[bytes]) -> np.ndarray:
+        made = [self._slow(p) for p in pieces]
+        ids = np.frombuffer(b"".join(made), "<u4")
+        many = np.array([len(m) // 4 for m in made], np.int32)
+        self.flat = _room(self.flat, self.used, len(ids))
+        self.first, self.many = (_room(x, self.entries, len(made)) for x in (self.first, self.many))
+        new = np.arange(self.entries, self.entries + len(made))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.first[new] = self.used + np.cumsum(many) - many
+        self.many[new] = many
+        self.used += len(ids)
+        self.entries += len(made)
+        a, b = ((keys >> np.uint64(s) & self.mask).astype(np.int64) for s in (0, 32))
+        slot = np.where((self.keys[a] == 0) | (self.keys[b] != 0), a, b)
+        self.keys[slot], self.slots[slot] = keys, new
+        lost = self.slots[slot] != new  # two of these in one slot: the key goes with the entry that stayed
+        self.keys[slot[lost]] = keys[self.slots[slot[lost]] - new[0]]
+        return new
+
+    def _slow(self, piece: bytes) -> bytes:
+        text, own = piece.decode(), self.encoder
+        if text.isalpha() and (own.spaces or text.isascii() or max(text) < _PLAIN):  # most new pieces, and rarely met in another form
+            if not own.spaces:
+                text = text.lower()
+            return array("I", own.merge(text if text.isascii() else to_chars(text.encode()))).tobytes()
+        if not own.spaces:
+            return own._bare(text)
+        if text[0] != " ":
+            return own._spaced(text, "")
+        return own._spaced(text[1:]) if len(text) > 1 and not text[1].isspace() else own._cut(text)
+
+
+def _room(old: np.ndarray, used: int, more: int) -> np.ndarray:
+    if used + more <= len(old):
+        return old
+    out = np.zeros(max(2 * len(old), used + more), old.dtype)
+    out[:used] = old[:used]
+    return out
+
+
 def lowest_first(data: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Merge the pair of lowest rank, the leftmost of equals, until none is left."""
     if data in ranks:
@@ -222,7 +392,7 @@ class FileTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.normalizer, self.split, self.model = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer, self.tokenizer.model
-        self.spaces = spaces
+        self.spaces, self.tokenize = spaces, self.model.tokenize
 
     def pretokens(self, text: str) -> list[str]:
         if self.normalizer is not None:
@@ -230,7 +400,7 @@ class FileTokenizer:
         return [p for p, _ in self.split.pre_tokenize_str(text)]
 
     def merge(self, chars: str) -> list[int]:
-        return [t.id for t in self.model.tokenize(chars)]
+        return [t.id for t in self.tokenize(chars)]
 
     def encoder(self) -> CachedEncoder:
         return CachedEncoder(self.pretokens, self.merge, self.spaces)
@@ -247,6 +417,13 @@ def rank_encoder(path: str, pattern: str) -> tuple[CachedEncoder, RankVocabulary
     return _encoders[key]
 
 
+def file_batches(path: str, spaces: bool) -> BatchEncoder:
+    """As ``file_encoder``, for whole columns."""
+    if (key := ("batches", path, spaces)) not in _encoders:
+        _encoders[key] = (BatchEncoder(file_encoder(path, spaces)),)
+    return _encoders[key][0]
+
+
 def file_encoder(path: str, spaces: bool) -> CachedEncoder:
     if (key := ("file", path, spaces)) not in _encoders:
         tokenizer = FileTokenizer(path, spaces)
@@ -342,7 +519,10 @@ def round_trip(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", t
     """Encode, decode, and return digests of both in one pass over the texts.
 
     The ids never leave the worker that made them, so nothing is shuffled and
-    nothing grows but one narrow row for each document.
+    nothing grows but one narrow row for each document.  A null or empty text
+    has no ids; a text of any length is encoded whole.  A null id stays null,
+    repeated rows come back as often as they came, no rows give no rows; other
+    columns are not looked at.
     """
 
     def make():

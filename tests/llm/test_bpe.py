@@ -1,8 +1,10 @@
 import base64
 import hashlib
+from functools import cache
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -67,13 +69,41 @@ def test_caches_change_nothing(public, text):
 @given(AWKWARD)
 def test_files_agree_with_the_library(text):
     for name, spaces in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
-        library = Tokenizer.from_file(P.path(name)) if name not in _library else _library[name]
-        library.encode_special_tokens = True
-        _library[name] = library
-        assert bpe.file_encoder(P.path(name), spaces).encode(text) == u32(library.encode(text, add_special_tokens=False).ids)
+        assert bpe.file_encoder(P.path(name), spaces).encode(text) == u32(library_of(name).encode(text, add_special_tokens=False).ids)
 
 
-_library: dict = {}
+@cache
+def library_of(name):
+    library = Tokenizer.from_file(P.path(name))
+    library.encode_special_tokens = True
+    return library
+
+
+@cache
+def batches_of(name, spaces, rows):
+    return bpe.BatchEncoder(bpe.file_encoder(P.path(name), spaces), rows)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.none(), AWKWARD), max_size=6))
+def test_whole_columns_agree_with_the_library(texts):
+    for name, spaces in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
+        library = library_of(name)
+        for rows in (1, 1 << 12):  # a table that is always full, and one that is not
+            own = batches_of(name, spaces, rows)
+            for column in (pa.array(texts, pa.string()), pa.array(["x", *texts], pa.string()).slice(1)):
+                ids, first = own.encode(column)
+                assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:], strict=True)] == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_long_pieces_and_blocks_of_a_column():
+    text = "x" * 70_000 + " a,b" * 90_000 + "\n" + "é" * 30 + "! " * 50_000
+    for name, spaces in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
+        library = library_of(name)
+        ids, first = bpe.file_batches(P.path(name), spaces).encode(pa.array([text, "", "y" * 49, text]))
+        want = library.encode(text, add_special_tokens=False).ids
+        assert ids[: first[1]].tolist() == want == ids[first[3] :].tolist()
+        assert first[1] == first[2]
 
 
 def test_characters_split_between_tokens():

@@ -50,14 +50,37 @@ def test_damage_is_found(spark, documents):
     at = store.write(documents.limit(50), PATH)
     chunks = store._chunks(spark, at)
     bad = chunks.selectExpr("name", "concat(payload, x'0100') payload").collect()
-    spark.createDataFrame(bad, chunks.schema).write.mode("overwrite").parquet(f"{at}/chunks")
+    spark.createDataFrame(bad, chunks.schema).write.mode("overwrite").parquet(f"{at}/chunks/kind=chunk")
     with pytest.raises(Exception, match="other bytes than its name says"):
         store.read_sums(spark, at).collect()
 
 
+def test_moved_recipes_are_found(spark, documents):
+    at = store.write(documents.limit(50), PATH)
+    recipes = store._recipes(spark, at)
+    moved = recipes.selectExpr("part", "key", "before + 1 as before", "doc_id", "n_tokens", "names", "root").collect()
+    spark.createDataFrame(moved, recipes.schema).write.mode("overwrite").parquet(f"{at}/recipes")
+    with pytest.raises(Exception, match="not those of the manifest"):
+        store.read_sums(spark, at)
+
+
+def test_blocks_and_repeated_rows(spark, monkeypatch):
+    docs = spark.createDataFrame([(i // 3 % 40 if i % 5 else None, f"text {i // 3 % 7}") for i in range(300)], "doc_id long, text string").repartition(6)
+    monkeypatch.setattr(store, "BLOCK", 16)
+    at = store.write(docs, PATH)
+    assert spark.read.parquet(f"{at}/manifest").agg({"documents": "max"}).first()[0] <= 16
+    rows = sorted(store.read_sums(spark, at).collect(), key=lambda r: r.start)
+    want = sorted(((x is not None, x or 0), zlib.crc32(ids.tobytes())) for x, ids in encoded(docs.collect()))
+    assert sorted(((r.doc_id is not None, r.doc_id or 0), r.ids_crc32) for r in rows) == want
+    assert [(r.doc_id is not None, r.doc_id or 0) for r in rows] == [w[0] for w in want]
+    assert [r.start for r in rows] == np.cumsum([0, *(r.n_tokens for r in rows)])[:-1].tolist()
+
+
 def test_crc_of_joined_parts():
-    parts = [b"abc" * 5, b"", b"x" * 4097, b"tail"]
-    assert store.joined_crc([zlib.crc32(p) for p in parts], [len(p) for p in parts]) == zlib.crc32(b"".join(parts))
+    parts = [b"abc" * 5, b"", b"x" * 4097, b"tail", b"z" * 70_000, b"end"]
+    crcs, sizes = np.array([zlib.crc32(p) for p in parts]), np.array([len(p) for p in parts])
+    got = store.joined_crcs(crcs, sizes, np.array([0, 4, 6]))
+    assert got.tolist() == [zlib.crc32(b"".join(parts[:4])), zlib.crc32(b"".join(parts[4:]))]
 
 
 def test_cuts_follow_the_content():
