@@ -14,7 +14,7 @@ WORD = r"[\p{L}\p{N}_]+"
 #: Values of the roman digits.
 ROMAN = {"I": 1, "V": 5, "X": 10, "L": 50, "C": 100, "D": 500, "M": 1000}
 #: What a size suffix multiplies by.
-SIZE_UNITS = {"": 1, "k": 10**3, "m": 10**6, "g": 10**9, "t": 10**12, "ki": 2**10, "mi": 2**20, "gi": 2**30, "ti": 2**40}
+SIZE_UNITS = {"": 1, "b": 1, "kb": 10**3, "mb": 10**6, "gb": 10**9, "tb": 10**12, "kib": 2**10, "mib": 2**20, "gib": 2**30, "tib": 2**40}
 
 
 def squeeze(c: Column) -> Column:
@@ -47,10 +47,6 @@ def slide_key(c: Column) -> Column:
     return F.lower(squeeze(c))
 
 
-def note_label(page: Column, number: Column) -> Column:
-    return F.concat(F.lit("p"), (page + 1).cast("string"), F.lit("-"), number)
-
-
 def yaml_quote(c: Column) -> Column:
     """A YAML scalar, quoted where it is empty or has a special character."""
     escaped = F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
@@ -71,7 +67,7 @@ def yaml_field(c: Column, name: str) -> Column:
 def escape_visual(c: Column) -> Column:
     """Squeezed, HTML special characters as entities, Markdown marks backslashed."""
     html = F.replace(F.replace(F.replace(squeeze(c), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    return F.regexp_replace(html, r"([\\`*_{}\[\]()#+\-.!|])", r"\\$1")
+    return F.regexp_replace(html, r"([\\`*_{}\[\]()#+.!|])", r"\\$1")
 
 
 def damaged(c: Column) -> Column:
@@ -112,23 +108,25 @@ def roman_value(c: Column) -> Column:
     return F.when(F.upper(c).rlike("^M{0,4}(CM|CD|D?C{0,3})(XC|XL|L?X{0,3})(IX|IV|V?I{0,3})$") & (c != ""), total).otherwise(F.lit(0))
 
 
-_LABEL = r"(?i)^(chapter|part|section|appendix|annex|book|unit|lesson)\b[ ]*"
-_NUMBER = r"^((?:\d{1,3}|[A-Za-z]|[IVXLCivxlc]{1,7})(?:\.\d{1,3}){0,5})(?:[.):]|(?=[ ])|$)"
+#: Labels that a roman number may follow, and roman numbers that count as one.
+SPINE_LABELS = ("chapter", "part", "appendix", "section")
+SPINE_ROMANS = ("I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX", "X", "XI", "XII")
+_HEADING = r"^\s*(?:([A-Z][a-zA-Z]{2,})\s+)?(\d{1,2}(?:\.\d{1,2}){0,3}|[A-H](?:\.\d{1,2}){0,2}|[IVX]{1,4})(?![A-Za-z0-9])[.:)]?\s*(.*)$"
 
 
 def heading_parts(c: Column) -> Column:
-    """``label, number, title`` of a heading line; each empty where it has none.
+    """``label, number, title`` of a heading line; label and number are empty where it has none.
 
-    A lone letter or roman number counts only after a label or before a mark.
+    A roman number counts only after a label of the spine, a lone letter only
+    after ``Appendix``; digits that go on are no section number.
     """
-    text = squeeze(c)
-    label = F.lower(F.regexp_extract(text, _LABEL, 1))
-    rest = F.regexp_replace(text, _LABEL, "")
-    found = F.regexp_extract(rest, _NUMBER, 1)
-    plain = rest.rlike(r"^[A-Za-z]{1,7} ") & ~found.rlike(r"\d") & (label == "")
-    number = F.when(plain, "").otherwise(found)
-    title = F.when(number == "", rest).otherwise(F.ltrim(F.regexp_replace(F.substring(rest, F.length(number) + 1, F.lit(1 << 20)), "^[.):]+", "")))
-    return F.struct(label.alias("label"), number.alias("number"), title.alias("title"))
+    text = F.trim(c)
+    label, number, title = (F.regexp_extract(text, _HEADING, k) for k in (1, 2, 3))
+    low = F.lower(label)
+    roman = number.isin(*SPINE_ROMANS) & ~low.isin(*SPINE_LABELS)
+    letter = number.rlike("^[A-H]$") & (low != "appendix")
+    told = text.rlike(_HEADING) & ~roman & ~letter
+    return F.struct(F.when(told, label).otherwise("").alias("label"), F.when(told, number).otherwise("").alias("number"), F.when(told, F.trim(title)).otherwise(text).alias("title"))
 
 
 def number_depth(number: Column) -> Column:
@@ -137,12 +135,11 @@ def number_depth(number: Column) -> Column:
 
 
 def size_bytes(c: Column) -> Column:
-    """Bytes of a size such as 20M or 1.5GiB; null if it is none."""
-    low = F.lower(F.trim(c))
-    number = F.regexp_extract(low, r"^(\d+(?:\.\d+)?)[ ]*(?:[kmgt]i?)?b?$", 1)
-    unit = F.regexp_extract(low, r"^\d+(?:\.\d+)?[ ]*([kmgt]i?)?b?$", 1)
-    by = F.element_at(F.create_map(*[F.lit(v) for kv in SIZE_UNITS.items() for v in kv]), unit)
-    return F.when(number != "", (number.try_cast("double") * by).cast("long"))
+    """Bytes of a size such as 20MB, 2 GiB or 512; null if it is none or 0."""
+    pattern = r"(?i)^\s*(\d+)\s*([kmgt]?i?b)?\s*$"
+    number, unit = F.regexp_extract(c, pattern, 1).try_cast("long"), F.lower(F.regexp_extract(c, pattern, 2))
+    by = F.element_at(F.create_map(*[F.lit(v) for kv in SIZE_UNITS.items() for v in (kv[0], kv[1])]), unit)
+    return F.when(number > 0, number * by.cast("long"))
 
 
 def first_year(c: Column) -> Column:
@@ -150,27 +147,39 @@ def first_year(c: Column) -> Column:
     return F.regexp_extract(c, r"(\d{4})", 1).try_cast("int")
 
 
-def font_class(font: Column) -> Column:
-    """``math`` for fonts of symbols, else ``text``."""
-    return F.when(font.rlike(r"(?i)(symbol|math|cmsy|cmex|cmmi|msam|msbm|stix.*sizes?)"), "math").otherwise("text")
-
+def broken_text(c: Column, least: int = 2000, n_words: int = 300, n_long: int = 200) -> Column:
+    """Why a text layer is unreadable, or null: too few letters, words without vowels, words run together.
 
-def broken_text(c: Column, least: int = 2000) -> Column:
-    """Why a text layer is unreadable, or null: too few letters, words without vowels, words run together."""
-    some = F.greatest(F.length(F.regexp_replace(c, SPACES + "+", "")), F.lit(1))
-    letters = F.length(F.regexp_replace(c, r"[^\p{L}]+", ""))
-    ascii_share = F.length(F.regexp_replace(c, "[^A-Za-z]+", "")) / some
-    n = F.regexp_count(c, F.lit("[A-Za-z]+"))
-    mute = F.regexp_count(c, F.lit("(?i)(?<![a-z])[b-df-hj-np-tv-xz]+(?![a-z])")) / F.greatest(n, F.lit(1))
-    long = F.regexp_count(c, F.lit("[A-Za-z]{25,}")) / F.greatest(n, F.lit(1))
+    Words are ASCII ones of three letters or more and say something only of
+    texts that are ASCII letters by two fifths.
+    """
+    size = F.length(c)
+    letters = F.regexp_count(c, F.lit(r"\p{L}"))
+    n = F.regexp_count(c, F.lit("[A-Za-z]{3,}"))
     return (
-        F.when(F.length(c) < least, F.lit(None).cast("string"))
-        .when(letters / some < 0.3, "few letters")
-        .when((ascii_share >= 0.4) & (n >= 300) & (mute > 0.15), "words without vowels")
-        .when((ascii_share >= 0.4) & (n >= 200) & (long > 0.06), "words run together")
+        F.when(size < least, F.lit(None).cast("string"))
+        .when(letters < 0.3 * size, "few letters")
+        .when((F.regexp_count(c, F.lit("[A-Za-z]")) < 0.4 * size) | (n < n_long), F.lit(None))
+        .when((n >= n_words) & (mute_words(c) > 0.15 * n), "words without vowels")
+        .when(long_letters(c) > 0.06 * word_letters(c), "words run together")
     )
 
 
+def mute_words(c: Column) -> Column:
+    """ASCII words of three letters or more without a vowel."""
+    return F.regexp_count(c, F.lit("(?i)(?<![a-z])[b-df-hj-np-tv-xz]{3,}(?![a-z])"))
+
+
+def word_letters(c: Column) -> Column:
+    """Letters in ASCII words of three letters or more."""
+    return F.length(F.array_join(F.regexp_extract_all(c, F.lit("([A-Za-z]{3,})"), F.lit(1)), ""))
+
+
+def long_letters(c: Column) -> Column:
+    """Letters in ASCII words of more than 24."""
+    return F.length(F.array_join(F.regexp_extract_all(c, F.lit("([A-Za-z]{25,})"), F.lit(1)), ""))
+
+
 def spaced_glyphs(c: Column) -> Column:
-    """Single letters and digits that stand alone: four or more in a title mean lost spacing."""
-    return F.regexp_count(F.concat(F.lit(" "), F.replace(c, F.lit(" "), F.lit("  ")), F.lit(" ")), F.lit(r" [\p{L}\p{N}] "))
+    """ASCII letters and digits that stand alone: four or more in a title mean lost spacing."""
+    return F.regexp_count(c, F.lit(r"(?<![\p{L}\p{N}_])[A-Za-z0-9](?![\p{L}\p{N}_])"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as T
+from leafmill.functions.repair import SMALL_WORDS
 
 
 def first_mode(df: DataFrame, keys: list[str], value: str, weight: Column, order: str) -> DataFrame:
@@ -34,19 +35,32 @@ def running_lines(lines: DataFrame, least: int = 3) -> DataFrame:
 
 
 #: Capital words that are no acronyms, and acronyms known beforehand.
-NOT_ACRONYMS = ("AND", "FOR", "NOT", "THE", "WITH")
-ACRONYMS = ("API", "CPU", "DNA", "EU", "HTML", "PDF", "UK", "USA", "XML")
+NOT_ACRONYMS = (
+    *(w.upper() for w in SMALL_WORDS),
+    *("THIS THAT NOT ALL ONE TWO NEW OLD END SEE ARE WAS HIS HER ITS OUR YOU WHO HOW WHY MAY CAN OUT OFF".split()),
+)
+ACRONYMS = tuple(
+    "ISBN DOI LCCN LCC DDC LCSH USA UK NY CA DC MIT IEEE ACM AI II III IV VI VII VIII IX XI XII PhD MD BC AD TV US EU UN CEO CTO UX UI API OCR PDF TD MC DP RL MDP".split()
+)
 
 
 def acronyms(lines: DataFrame, least: int = 3) -> DataFrame:
-    """Capital words of 2 to 6 letters that a document uses ``least`` times among mixed-case words."""
-    words = F.regexp_extract_all("text", F.lit(r"(\p{L}+)"), F.lit(1))
-    caps = F.filter(words, lambda w: w.rlike("^[A-Z]{2,6}$"))
+    """Capital words of 2 to 6 characters that a document uses ``least`` times in lines of mixed case."""
+    words = F.regexp_extract_all("text", F.lit(r"([A-Za-z][A-Za-z'’\-]*)"), F.lit(1))
+    caps = F.filter(words, lambda w: w.rlike(r"^[A-Z][A-Z'’\-]*[A-Z]$") & (F.length(w) <= 6))
     mixed = (F.size(words) >= 4) & (F.size(caps) * 2 <= F.size(words))
     found = lines.where(mixed).select("doc_id", F.explode(caps).alias("token"))
     return found.where(~F.col("token").isin(*NOT_ACRONYMS)).groupBy("doc_id", "token").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
+def acronym_sets(lines: DataFrame, least: int = 3) -> DataFrame:
+    """``doc_id, acronyms``: what a document taught, united with those known beforehand, sorted."""
+    learned = acronyms(lines, least).groupBy("doc_id").agg(F.collect_set("token").alias("learned"))
+    known = F.array(*map(F.lit, ACRONYMS))
+    docs = lines.select("doc_id").distinct()
+    return docs.join(learned, "doc_id", "left").select("doc_id", F.array_sort(F.array_union(F.coalesce("learned", F.array().cast("array<string>")), known)).alias("acronyms"))
+
+
 def word_forms(docs: DataFrame) -> DataFrame:
     """Distinct lowered words of each document, and how many are compounds."""
     found = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+(?:-[\p{L}\p{N}]+)*)"), F.lit(1)))
@@ -68,6 +82,7 @@ def token_overlap(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
         words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(f"({T.WORD})"), F.lit(1)))
         return df.select(key, words.alias("word")).groupBy(key, "word").agg(F.count("*").alias(name))
 
+    left = left.join(right.select(key).distinct(), key, "left_semi")  # ids of one side alone have no measure
     both = counts(left, "a").join(counts(right, "b"), [key, "word"], "full_outer").fillna(0, ["a", "b"])
     sums = both.groupBy(key).agg(F.sum(F.least("a", "b")).alias("common"), F.sum("a").alias("n_left"), F.sum("b").alias("n_right")).where("n_left > 0 and n_right > 0")
     return sums.select(key, "common", F.round(F.col("common") / F.col("n_left"), 6).alias("precision"), F.round(F.col("common") / F.col("n_right"), 6).alias("recall"))

@@ -1,7 +1,8 @@
 """Checks of Markdown documents: what looks damaged, how badly, and where.
 
-Lines are looked at with their neighbours in one partitioning by document;
-every check is then a sum over flags, combined before it is shuffled.
+A document is one row and stays one: every check is a pattern counted over its
+text, or over the text with code fences folded to one line, so nothing is
+exploded or shuffled before the checks that fired.
 """
 
 from __future__ import annotations
@@ -10,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as T
-from leafmill.operators import lines as L
 from leafmill.operators.lines import split_lines
 
 #: How much each check weighs.
@@ -19,6 +19,7 @@ PRIORITY = {
     "private_use_chars": 5,
     "broken_text_layer": 5,
     "unclosed_fence": 4,
+    "broken_image_link": 4,
     "corrupt_title_spacing": 4,
     "implausible_title_length": 4,
     "corrupt_subtitle_spacing": 3,
@@ -35,55 +36,94 @@ PRIORITY = {
 CELLS = r"\|"
 
 
-def line_flags(docs: DataFrame) -> DataFrame:
-    """Each line with its neighbours: fence, heading level and title, table cells."""
-    c, w = F.col("text"), L.by_doc()
-    mark = c.startswith("```")
-    rows = L.lines_of(docs).withColumn("fences", F.sum(mark.cast("int")).over(L.so_far())).withColumn("next", F.lead("text").over(w))
-    rows = rows.withColumn("mark", mark).withColumn("plain", (F.col("fences") % 2 == 0) & ~mark)
-    level = F.when(F.col("plain") & c.rlike("^#{1,6} "), F.length(F.regexp_extract(c, "^(#+)", 1)))
-    rows = rows.withColumn("level", level).withColumn("before", F.last("level", ignorenulls=True).over(L.above()))
-    row = F.col("plain") & F.trim(c).startswith("|")
-    return rows.withColumn("row", row).withColumn("run", F.sum((~row).cast("int")).over(L.so_far()))
-
-
-def exploded(docs: DataFrame) -> DataFrame:
-    """``doc_id, check, n``: a row for each check that fires in a document, with how often."""
-    docs = docs.where("text is not null").select("doc_id", "text")
-    rows, c = line_flags(docs), F.col("text")
-    plain = F.col("plain")
-    prose = plain & (F.trim(c) != "") & ~c.rlike(r"^\s*([#>|]|[-*+] |\d+[.)] |!\[)")
-    short = prose & (F.length(c) < 45) & ~F.rtrim(c).rlike("[.!?:;…\"')”’]$")
-    flags = {
-        "replacement_chars": c.contains("\ufffd"),
-        "private_use_chars": c.rlike(r"[\x{E000}-\x{F8FF}]"),
-        "heading_jump": F.col("level") > F.col("before") + 1,
-        "standalone_page_number": plain & c.rlike(r"^\s*\d{1,4}\s*$"),
-        "possible_broken_hyphen": plain & c.rlike(r"\p{L}-$") & F.col("next").rlike(r"^\p{Ll}"),
-        "excess_blank_lines": plain & (F.trim(c) == "") & (F.trim("next") == ""),
-        "trailing_whitespace": plain & c.rlike(r"\S[ \t]$") & ~c.endswith("  "),
-        "unclosed_fence": F.col("mark"),
-        "_prose": prose,
-        "_short": short,
-    }
-    sums = rows.groupBy("doc_id").agg(*[F.sum(F.coalesce(f, F.lit(False)).cast("int")).alias(k) for k, f in flags.items()])
-    found = {k: F.col(k) for k in flags if k[0] != "_"} | {
-        "unclosed_fence": F.col("unclosed_fence") % 2,
-        "short_prose_fragment": F.when((F.col("_prose") >= 20) & (F.col("_short") > 0.22 * F.col("_prose")), F.col("_short")).otherwise(0),
+#: A code fence from its first mark to its last, or to the text's end.
+FENCE = r"(?dms)^[ \t]*```[^\n]*$.*?(?:^[ \t]*```[^\n]*$|\z)"
+_HEADING = r"(?dm)^(#{1,6})[ \t]+(\S[^\n]*?)[ \t]*$"
+
+
+def folded(c: Column) -> Column:
+    """The text with each code fence as one line of three backticks."""
+    return F.regexp_replace(c, FENCE, "```")
+
+
+def count_of(c: Column, pattern: str) -> Column:
+    return F.regexp_count(c, F.lit(pattern))
+
+
+def jumps(levels: Column) -> Column:
+    """Headings more than one level below the one before."""
+    return F.size(F.filter(F.transform(levels, lambda x, i: (i > 0) & (x > F.get(levels, i - 1) + 1)), lambda x: x))
+
+
+def often(titles: Column, least: int = 4) -> Column:
+    """Different titles that occur ``least`` times or more; references and notes may."""
+    told = F.array_sort(F.filter(titles, lambda t: ~t.isin("references", "notes")))
+    first = F.transform(told, lambda t, i: ((i == 0) | (F.get(told, i - 1) != t)) & F.get(told, i + least - 1).eqNullSafe(t))
+    return F.size(F.filter(first, lambda x: x))
+
+
+def uneven_rows(plain: Column) -> Column:
+    """Rows of pipe tables with another number of cells than most rows of their table.
+
+    A table ends at a line that is no row; one that the text or a fence ends is not judged.
+    """
+    runs = F.regexp_extract_all(plain, F.lit(r"(?dm)^(\|(?:[^\n]*\|)?\n(?s:.*?))^(?!\|(?:[^\n]*\|)?$)(?!```)"), F.lit(1))
+
+    def uneven(run: Column) -> Column:
+        cells = F.array_sort(F.transform(F.filter(split_lines(run), lambda r: r != ""), lambda r: F.length(r) - F.length(F.replace(r, F.lit("|"), F.lit(""))) - 1))
+        most = F.array_max(F.transform(F.array_distinct(cells), lambda n: F.size(F.filter(cells, lambda m: m == n))))
+        return F.size(cells) - most
+
+    return F.aggregate(F.transform(runs, uneven), F.lit(0), lambda x, y: x + y)
+
+
+def image_targets(plain: Column) -> Column:
+    """The local files that a text's images name, percent signs decoded."""
+    found = F.regexp_extract_all(plain, F.lit(r"!\[[^\]\n]*\]\(([^)\n]+)\)"), F.lit(1))
+    return F.filter(F.transform(found, lambda t: F.coalesce(F.try_url_decode(F.replace(t, F.lit("+"), F.lit("%2B"))), t)), lambda t: ~t.contains("://"))
+
+
+def exploded(docs: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """``doc_id, check, n``: a row for each check that fires in a document, with how often.
+
+    ``files`` has the paths (``doc_id, path``) that image links may name; without
+    it links are not checked.  A null text has no row.
+    """
+    docs = docs.where("text is not null").select("doc_id", F.regexp_replace("text", r"\n\z", "").alias("text"))
+    rows = docs.select("doc_id", "text", folded(F.col("text")).alias("plain"))
+    c, plain = F.col("text"), F.col("plain")
+    rows = rows.withColumn("levels", F.transform(F.regexp_extract_all(plain, F.lit(_HEADING), F.lit(1)), F.length))
+    rows = rows.withColumn("titles", F.transform(F.regexp_extract_all(plain, F.lit(_HEADING), F.lit(2)), F.lower))
+    body = folded(F.regexp_replace(c, r"(?s)\A---[ \t]*\n.*?\n---[ \t]*(?:\n|\z)", ""))
+    rows = rows.withColumn("prose", F.regexp_replace(body, r"(?dm)^```$\n?", ""))
+    lines = F.filter(split_lines(plain), lambda x: (F.trim(x) != "") & ~x.rlike(r"^(#|>|[-*+] |\d+[.)] |\||```)") & x.rlike("[A-Za-z]"))
+    rows = rows.withColumn("n_prose", F.size(lines)).withColumn("short", F.size(F.filter(lines, lambda x: (F.length(F.trim(x)) < 45) & ~F.rtrim(x).rlike("[.!?:;]$"))))
+    prose, ascii_words = F.col("prose"), count_of(F.col("prose"), "[A-Za-z]{3,}")
+    judged = (F.length(prose) >= 2000) & (count_of(prose, "[A-Za-z]") >= 0.4 * F.length(prose)) & (ascii_words >= 200)
+    broken = judged & ((T.long_letters(prose) > 0.06 * T.word_letters(prose)) | ((ascii_words >= 300) & (T.mute_words(prose) > 0.15 * ascii_words)))
+    checks = {
+        "replacement_chars": count_of(c, r"(?dm)^.*\x{FFFD}.*$"),
+        "private_use_chars": count_of(c, r"(?dm)^.*[\x{E000}-\x{F8FF}].*$"),
+        "unclosed_fence": count_of(c, r"(?dm)^[ \t]*```") % 2,
+        "heading_jump": jumps(F.col("levels")),
+        "duplicate_heading": often(F.col("titles")),
+        "standalone_page_number": count_of(plain, r"(?dm)^[ \t]*\d{1,4}[ \t]*$"),
+        "broken_text_layer": broken.cast("int"),
+        "possible_broken_hyphen": count_of(plain, r"(?dm)[A-Za-zÀ-ÖØ-öø-ÿ]-$(?=\n[a-zà-öø-ÿ])"),
+        "excess_blank_lines": count_of(plain, r"(?dm)^[ \t]*\n[ \t]*(?:\n|(?<=[ \t])\z)[ \t\n]*"),
+        "trailing_whitespace": count_of(plain, r"(?dm)(?<! ) $|\t$"),
+        "short_prose_fragment": ((F.col("n_prose") >= 20) & (F.col("short") > 0.22 * F.col("n_prose"))).cast("int"),
+        "malformed_table": uneven_rows(plain),
     }
-    lines = _long(sums, found)
-    heads = rows.where("level is not null").groupBy("doc_id", F.lower(F.trim(F.regexp_replace(c, "^#+ +", ""))).alias("title")).agg(F.count("*").alias("k"))
-    heads = heads.where((F.col("k") >= 4) & ~F.col("title").isin("references", "notes")).groupBy("doc_id").agg(F.count("*").alias("n"))
-    cells = rows.where("row").groupBy("doc_id", "run", F.regexp_count(c, F.lit(r"(?<!\\)\|")).alias("cells")).agg(F.count("*").alias("k"), F.max(F.col("next").isNull()).alias("last"))
-    runs = cells.groupBy("doc_id", "run").agg((F.sum("k") - F.max("k")).alias("bad"), F.max("last").alias("last")).where("not last").groupBy("doc_id").agg(F.sum("bad").alias("n"))
-    whole = {"broken_text_layer": T.broken_text(c).isNotNull().cast("int")}
     for name, most in (("title", 240), ("subtitle", 300)):
         value = T.yaml_field(c, name)
-        whole[f"corrupt_{name}_spacing"] = (T.spaced_glyphs(value) >= 4).cast("int")
-        whole[f"implausible_{name}_length"] = ((F.length(value) > most) | (T.words(value) > 40)).cast("int")
-    out = lines.unionByName(_long(docs, whole))
-    for name, part in (("duplicate_heading", heads), ("malformed_table", runs)):
-        out = out.unionByName(part.select("doc_id", F.lit(name).alias("check"), F.col("n").cast("int").alias("n")))
+        checks[f"corrupt_{name}_spacing"] = (T.spaced_glyphs(value) >= 4).cast("int")
+        checks[f"implausible_{name}_length"] = ((F.length(value) > most) | (T.words(value) > 40)).cast("int")
+    out = _long(rows, checks)
+    if files is not None:
+        named = rows.select("doc_id", F.explode(image_targets(plain)).alias("path"))
+        lost = named.join(files.select("doc_id", "path").distinct(), ["doc_id", "path"], "left_anti")
+        out = out.unionByName(lost.groupBy("doc_id").agg(F.count("*").cast("int").alias("n")).withColumn("check", F.lit("broken_image_link")))
     return out.where("n > 0")
 
 

@@ -122,17 +122,13 @@ def rejoin(parts: Column) -> Column:
 
 
 def collapse_blanks(docs: DataFrame) -> DataFrame:
-    """Of blank lines in a row the first stays; inside code fences all do."""
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(False).alias("fence"), F.lit(False).alias("blank"))
+    """Of blank lines in a row the first stays; inside code fences all do.
 
-    def add(acc: Column, line: Column) -> Column:
-        mark, blank = line.startswith("```"), F.trim(line) == ""
-        drop = blank & acc["blank"] & ~acc["fence"]
-        fence = F.when(mark, ~acc["fence"]).otherwise(acc["fence"])
-        return F.struct(F.when(drop, acc["out"]).otherwise(F.concat(acc["out"], F.array(line))).alias("out"), fence.alias("fence"), blank.alias("blank"))
-
-    out = F.aggregate(split_lines(F.col("text")), start, add, lambda acc: F.array_join(acc["out"], "\n"))
-    return docs.select("doc_id", out.alias("text"))
+    One pass of a pattern that takes a whole fence or a run of blank lines.
+    """
+    runs = r"(?m)(^```[^\n]*$(?s:.*?)(?:^```[^\n]*$|\z))|(^[ \t]*\n)[ \t\n]*\n"
+    text = F.regexp_replace(F.concat("text", F.lit("\n")), runs, "$1$2")
+    return docs.select("doc_id", F.left(text, F.length(text) - 1).alias("text"))
 
 
 def carry_forward(rows: DataFrame, value: Column, name: str) -> DataFrame:

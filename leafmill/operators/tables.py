@@ -17,22 +17,37 @@ def slots(cells: DataFrame) -> DataFrame:
     return across.select("table_id", "at_row", "at_col", F.struct("row", "col").alias("covered_by"), "text", ((F.col("at_row") == F.col("row")) & (F.col("at_col") == F.col("col"))).alias("origin"))
 
 
-def status(cells: DataFrame) -> DataFrame:
-    """``table_id, status``: ok, overlap where cells share a place, refused beyond MOST_SLOTS.
+def fair(cells: DataFrame) -> DataFrame:
+    """The cells of tables of at most MOST_SLOTS places.
 
     Sizes are summed before anything is spread out, so a hostile span costs nothing.
     """
-    sizes = cells.groupBy("table_id").agg(F.sum(F.col("rowspan").cast("long") * F.col("colspan")).alias("slots"))
-    fair = cells.join(sizes.where(F.col("slots") <= MOST_SLOTS).select("table_id"), "table_id", "left_semi")
-    twice = slots(fair).groupBy("table_id", "at_row", "at_col").agg(F.count("*").alias("n")).groupBy("table_id").agg(F.max("n").alias("n"))
-    return sizes.join(twice, "table_id", "left").select("table_id", F.when(F.col("slots") > MOST_SLOTS, "refused").when(F.col("n") > 1, "overlap").otherwise("ok").alias("status"))
+    return cells.join(_sizes(cells).where(F.col("slots") <= MOST_SLOTS).select("table_id"), "table_id", "left_semi")
+
+
+def _sizes(cells: DataFrame) -> DataFrame:
+    return cells.groupBy("table_id").agg(F.sum(F.col("rowspan").cast("long") * F.col("colspan")).alias("slots"))
+
+
+def status(cells: DataFrame) -> DataFrame:
+    """``table_id, status``: ok, overlap where cells share a place, refused beyond MOST_SLOTS."""
+    twice = slots(fair(cells)).groupBy("table_id", "at_row", "at_col").agg(F.count("*").alias("n")).groupBy("table_id").agg(F.max("n").alias("n"))
+    return _sizes(cells).join(twice, "table_id", "left").select("table_id", F.when(F.col("slots") > MOST_SLOTS, "refused").when(F.col("n") > 1, "overlap").otherwise("ok").alias("status"))
 
 
 def grid(cells: DataFrame) -> DataFrame:
-    """``table_id, rows``: every row's texts from left to right, a spanning cell's text in all its places."""
-    each = slots(cells)
-    row = each.groupBy("table_id", "at_row").agg(F.transform(F.array_sort(F.collect_list(F.struct("at_col", "text"))), lambda x: x["text"]).alias("texts"))
-    return row.groupBy("table_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at_row", "texts"))), lambda x: x["texts"]).alias("rows"))
+    """``table_id, rows``: every row's texts from left to right, a spanning cell's text in all its places.
+
+    A table beyond MOST_SLOTS has no row.  Cells are spread out and gathered
+    in one group for each table.
+    """
+    place = F.array_sort(F.collect_list(F.struct("at_row", "at_col", "text")))
+    each = slots(fair(cells)).groupBy("table_id").agg(place.alias("places"))
+    numbers = F.array_distinct(F.transform("places", lambda p: p["at_row"]))
+    # Rows follow one another in the sorted places, so each is a slice from its first place on.
+    firsts = F.transform(numbers, lambda r: F.array_position(F.transform("places", lambda p: p["at_row"]), r).cast("int"))
+    rows = F.transform(firsts, lambda a, i: F.transform(F.slice("places", a, F.coalesce(F.get(firsts, i + 1), F.size("places") + 1) - a), lambda p: p["text"]))
+    return each.select("table_id", rows.alias("rows"))
 
 
 def flat_header(rows: Column, depth: int) -> Column:

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import text as T
 from leafmill.operators import aggregates as A
-from leafmill.operators import audit, joins, layout
+from leafmill.operators import audit, batch, decks, joins, layout, outline
 from leafmill.operators import lines as L
 from leafmill.operators import tables as TB
+from leafmill.functions import fields, repair
 from leafmill.plans import render
+from leafmill.plans.cases import CASES, applied
 from leafmill.sources import html
 from leafmill.streaming import ledger
 
@@ -56,9 +58,9 @@ def heading_numbers(docs):
     rows = L.lines_of(docs)
     kind = F.col("seq") % 4
     number = F.concat((F.col("doc_id") % 9 + 1).cast("string"), F.lit("."), (F.col("seq") % 7 + 1).cast("string"))
-    title = F.concat(F.when(kind == 0, F.concat(F.lit("Chapter "), F.col("seq") % 30 + 1, F.lit(". "))).when(kind == 1, F.concat(number, F.lit(" "))).when(kind == 2, F.concat(F.lit("Appendix B: "))).otherwise(""), T.squeeze(F.col("text")))
+    title = F.concat(F.when(kind == 0, F.concat(F.lit("Chapter "), F.col("seq") % 30 + 1, F.lit(". "))).when(kind == 1, F.concat(number, F.lit(" "))).when(kind == 2, F.concat(F.lit("Appendix B: "))).otherwise("- "), T.squeeze(F.col("text")))
     found = rows.select("doc_id", "seq", T.heading_parts(title).alias("h"))
-    return found.select("doc_id", "seq", "h.label", "h.number", T.number_depth(F.col("h.number")).alias("depth"))
+    return found.select("doc_id", "seq", "h.label", "h.number", "h.title", T.number_depth(F.col("h.number")).alias("depth"))
 
 
 @query("documents")
@@ -138,7 +140,7 @@ def weighted_median(items):
 
 @query("documents")
 def paragraph_groups(docs):
-    return L.paragraphs(L.lines_of(docs)).select("doc_id", "paragraph", "first", "n_lines")
+    return L.paragraphs(L.lines_of(docs)).select("doc_id", "paragraph", "first", "n_lines", "text")
 
 
 @query("documents")
@@ -153,8 +155,7 @@ def section_paths(docs):
 
 @query("documents")
 def heading_anchors(docs):
-    short = L.headings_of(L.as_markdown(docs)).withColumn("title", F.substring("title", 1, 3))
-    return L.anchors(short).select("doc_id", "seq", "anchor")
+    return L.anchors(L.headings_of(L.as_markdown(docs))).select("doc_id", "seq", "anchor")
 
 
 @query("documents")
@@ -175,19 +176,27 @@ def regime_fill(docs):
 # ---------------------------------------------------------------------------- audit
 
 
+def _audited(docs):
+    """Documents with markup, damage and pictures by line number, and the files that are there."""
+    marked = L.as_markdown(docs)
+    line = F.transform(L.split_lines(F.col("text")), lambda x, i: F.when(i % 40 == 14, F.concat(x, F.lit(" "))).when(i % 40 == 26, F.concat(F.lit("![p](pic%20"), (i % 7).cast("string"), F.lit(".png)"))).when(i % 60 == 38, F.lit("12")).when(i % 60 == 44, F.concat(F.lit("| a | b |\n| c |\n"), x)).otherwise(x))
+    files = docs.select("doc_id", F.explode(F.array(*[F.lit(f"pic {k}.png") for k in range(0, 7, 2)])).alias("path"))
+    return audit.exploded(marked.select("doc_id", F.array_join(line, "\n").alias("text")), files)
+
+
 @query("documents")
 def audit_checks(docs):
-    return audit.exploded(L.as_markdown(docs))
+    return _audited(docs)
 
 
 @query("documents")
 def audit_totals(docs):
-    return audit.totals(audit.exploded(L.as_markdown(docs)))
+    return audit.totals(_audited(docs))
 
 
 @query("documents")
 def audit_worst(docs):
-    return audit.worst(audit.scores(audit.exploded(L.as_markdown(docs))))
+    return audit.worst(audit.scores(_audited(docs)))
 
 
 @query("documents", "benchmark")
@@ -292,7 +301,8 @@ def heading_styles(docs):
 
 @query("documents")
 def document_kinds(docs):
-    return layout.kind_scores(_pages(docs)).select("doc_id", "kind", "confidence")
+    rows = _pages(docs)
+    return layout.kind_scores(rows, layout.body_style(rows)).select("doc_id", "kind", "confidence")
 
 
 @query("documents")
@@ -375,3 +385,222 @@ def conversation_chunks(turns):
 @query("documents")
 def document_chunks(docs):
     return render.chunks(L.as_markdown(docs), 200).select("doc_id", "chunk", "path", "tokens", "oversize")
+
+
+@query("documents")
+def markdown_chunks(docs):
+    return render.block_chunks(L.as_markdown(docs), 40)
+
+
+@query("lineitem")
+def table_chunks(items):
+    """Each order's items as a pipe table in a section, parted under its header."""
+    row = F.concat(F.lit("| "), F.col("l_partkey").cast("string"), F.lit(" | "), F.col("l_quantity").cast("int").cast("string"), F.lit(" |"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity", row.alias("row")))), lambda x: x["row"]), "\n")
+    tables = items.groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.concat(F.lit("# Items\n\n| part | n |\n| --- | --- |\n"), body).alias("text"))
+    return render.block_chunks(tables, 30)
+
+
+# -------------------------------------------------------------- hand-made cases
+
+QUERIES.update({name: (lambda f: lambda spark, sf_dir: f(table(spark, sf_dir, "documents")))(applied(name)) for name in CASES})
+
+
+# ------------------------------------------------------------- slides and outlines
+
+
+def _slides(docs):
+    """Each document's lines five to a slide, every slide shown in three steps."""
+    rows = L.lines_of(docs).groupBy("doc_id", F.floor(F.col("seq") / 5).cast("int").alias("slide")).agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]).alias("lines"))
+    step = F.explode(F.array(*map(F.lit, range(3)))).alias("step")
+    steps = rows.select("doc_id", "slide", "lines", step)
+    upto = F.when(F.col("step") == 2, F.size("lines")).otherwise(F.col("step") + 1)
+    return steps.select("doc_id", (F.col("slide") * 3 + F.col("step")).cast("int").alias("page"), F.concat(F.lit("Slide "), F.col("slide").cast("string")).alias("title"), F.slice("lines", 1, upto).alias("body"))
+
+
+@query("documents")
+def build_steps(docs):
+    return decks.build_steps(_slides(docs))
+
+
+@query("documents")
+def outline_tree(docs):
+    """A list of headings dealt to each document, as its tree says."""
+    lists = [text.split("|") for text in OUTLINES]
+    mine = F.get(F.array(*[F.array(*[F.lit(t) for t in titles]) for titles in lists]), F.pmod(F.col("doc_id"), F.lit(len(lists))).cast("int"))
+    heads = docs.select("doc_id", F.posexplode(mine).alias("seq", "line")).select("doc_id", "seq", F.substr("line", F.lit(3)).alias("title"), F.left("line", F.lit(1)).cast("int").alias("rank"))
+    return outline.outline(heads)
+
+
+#: Headings with the prominence of their style before them, by document.
+OUTLINES = (
+    "1 Chapter 1 Start|2 1.1 First|2 1.2 Second|3 1.2.1 Deep|2 5.7 Elsewhere|1 Chapter 2 Next|2 2.1 Again|2 1.3 Back",
+    "1 Introduction|2 Methods|2 Results|1 References",
+    "1 Chapter 1 A|2 1.1 B|3 Exercise 1 Do|3 Exercise 2 Try|4 A small aside|1 Glossary",
+    "1 Part II The end|1 Chapter 3 C|2 Appendix A Proofs|2 Example 1 Lone",
+)
+
+
+@query("documents")
+def list_parents(docs):
+    """Lines as blocks: items of three levels in runs that paragraphs part."""
+    rows = L.lines_of(docs)
+    kind = F.when(F.col("seq") % 7 == 6, "para").otherwise("list_item")
+    return outline.list_parents(rows.select("doc_id", "seq", kind.alias("kind"), (F.col("seq") * 5 % 3 + 1).cast("int").alias("level"))).where("kind = 'list_item'").select("doc_id", "seq", "level", "parent")
+
+
+@query("documents")
+def contents_entries(docs):
+    return outline.contents(L.anchors(L.headings_of(L.as_markdown(docs))))
+
+
+@query("documents")
+def heading_echoes(docs):
+    """Headings, some given the title above them in small letters."""
+    heads = L.headings_of(L.as_markdown(docs))
+    above = F.lag("title").over(L.by_doc())
+    return outline.without_echoes(heads.withColumn("title", F.when(F.col("seq") % 4 == 2, F.lower(F.coalesce(above, F.col("title")))).otherwise(F.col("title")))).select("doc_id", "seq")
+
+
+@query("documents")
+def note_places(docs):
+    rows = L.lines_of(docs)
+    kind = F.when(F.col("seq") % 9 == 0, "heading").when(F.col("seq") % 4 == 2, "footnote").otherwise("para")
+    return outline.place_notes(rows.select("doc_id", "seq", kind.alias("kind")))
+
+
+@query("documents")
+def roman_sections(docs):
+    """Lines of which some are numbered in roman, with gaps and repeats."""
+    rows = L.lines_of(docs)
+    number = F.get(F.split(F.lit("I,II,II,IV,III,IV,V,VII"), ","), (F.floor(F.col("seq") / 3) % 8).cast("int"))
+    text = F.when(F.col("seq") % 3 == 1, F.concat(number, F.lit(". SECTION "), F.col("seq").cast("string"))).otherwise(F.col("text"))
+    return outline.roman_sections(rows.select("doc_id", "seq", text.alias("text"), F.lit(False).alias("isolated")))
+
+
+@query("documents")
+def printed_contents(docs):
+    """Lines as the entries of a contents page, a third of them wrapped."""
+    rows = L.lines_of(docs).where("seq < 40")
+    number = F.when(F.col("seq") % 4 == 0, "").when(F.col("seq") % 4 == 1, "2 ").otherwise("2.1 ")
+    entry = F.concat(number, F.lit("Entry "), F.col("seq").cast("string"), F.when(F.col("seq") % 3 == 2, "").otherwise(F.concat(F.lit(" ..... "), F.col("seq").cast("string"))))
+    return outline.printed_contents(rows.select("doc_id", F.floor(F.col("seq") / 20).cast("int").alias("page"), "seq", entry.alias("text")))
+
+
+# ---------------------------------------------------------------- corpus of results
+
+
+@query("documents")
+def cleanest_results(docs):
+    """Documents as results of files that share a stem, four to one."""
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    rows = docs.select(F.concat(F.lit("s"), F.floor(F.col("doc_id") / 4).cast("string")).alias("stem"), F.concat(F.lit("Out/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), (F.col("doc_id") * 7 % 3).alias("score"), (F.col("doc_id") % 2).alias("issues"), size.alias("bytes"))
+    return batch.cleanest(rows)
+
+
+@query("labels")
+def case_statuses(labels):
+    """Labels as checks of cases, some missing, broken off or without checks."""
+    case = F.floor(F.col("doc_id") / 3).cast("long").alias("case_id")
+    cases = labels.select(case).distinct().select("case_id", (F.col("case_id") % 11 != 0).alias("present"), F.when(F.col("case_id") % 7 == 3, 1).otherwise(0).alias("returncode"), (F.col("case_id") % 13 == 5).alias("timed_out"))
+    checks = labels.where("doc_id % 5 <> 0").select(case, (F.col("quality") == 1).alias("passed"))
+    return batch.case_status(checks, cases)
+
+
+@query("lineitem")
+def engine_medians(items):
+    runs = items.select(F.col("l_returnflag").alias("engine"), (F.col("l_linestatus") == "F").alias("ok"), F.col("l_extendedprice").cast("double").alias("seconds"), F.col("l_quantity").cast("double").alias("bytes"))
+    return batch.engine_medians(runs)
+
+
+@query("documents")
+def joined_parts(docs):
+    """Documents in two parts, each with front matter, put together again."""
+    head = F.concat(F.lit("---\ntitle: t"), F.col("doc_id").cast("string"), F.lit("\n---\n"))
+    parts = docs.where("text is not null").select("doc_id", F.explode(F.array(F.struct(F.lit(1).alias("part"), F.concat(head, F.lit("first")).alias("text")), F.struct(F.lit(76).alias("part"), F.concat(head, F.lit("\n"), F.trim("text")).alias("text")))).alias("p")).select("doc_id", "p.part", "p.text")
+    whole = batch.whole_documents(parts)
+    return whole.select("doc_id", F.sha2("text", 256).alias("sha256"), F.length("text").alias("length"))
+
+
+@query("documents")
+def page_ranges(docs):
+    return batch.page_ranges(docs.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("n_pages")), 75)
+
+
+@query("documents")
+def new_names(docs):
+    title = F.when(F.col("doc_id") % 4 == 0, "The Same: Title").otherwise(F.concat(F.lit("Title No. "), (F.col("doc_id") % 50).cast("string")))
+    head = F.when(F.col("doc_id") % 5 == 1, "---\nlang: x\n---\n").otherwise(F.concat(F.lit('---\ntitle: "'), title, F.lit('"\n---\n')))
+    files = docs.select(F.concat(F.lit("out/"), F.col("lang"), F.lit("/"), F.format_string("%08d", F.col("doc_id")), F.lit(".md")).alias("path"), F.concat(head, F.coalesce("text", F.lit(""))).alias("text"))
+    return batch.new_names(files)
+
+
+# ------------------------------------------------------------------ layout, continued
+
+
+@query("documents")
+def size_tiers(docs):
+    rows = _pages(docs).withColumn("size", 9.0 + F.pmod(F.col("seq") * 7, F.lit(23)) * 0.3)
+    return layout.size_tiers(rows)
+
+
+@query("documents")
+def text_families(docs):
+    font = F.get(F.split(F.lit("AB+CMR10,CMBX12,Times-Italic,Garamond3"), ","), F.pmod(F.col("seq"), F.lit(4)).cast("int"))
+    return layout.text_families(_pages(docs).withColumn("font", font))
+
+
+@query("documents")
+def kind_census(docs):
+    return layout.census(_pages(docs).withColumn("kind", F.when(F.col("is_bold"), "heading").otherwise("body")), "kind").select("doc_id", F.element_at("counts", "heading").alias("headings"), F.element_at("counts", "body").alias("bodies"))
+
+
+@query("documents")
+def acronym_sets(docs):
+    taught = docs.select("doc_id", F.regexp_replace("text", "(^| )(the|la|der|le) ", "$1TLA ").alias("text"))
+    return A.acronym_sets(L.lines_of(taught)).select("doc_id", F.array_join("acronyms", " ").alias("acronyms"))
+
+
+@query("documents")
+def table_chains(docs):
+    """A table for each page of a document, some of which say that they go on."""
+    page = F.explode(F.sequence(F.lit(0), F.least(F.coalesce(F.length("text"), F.lit(0)) / 200, F.lit(12)).cast("int"))).alias("page")
+    number = F.floor(F.col("page") / 4) + 1
+    told = F.concat(F.lit("Table "), number.cast("string"), F.when(F.col("page") % 4 == 0, ": counts").otherwise(" (continued)"))
+    rows = docs.select("doc_id", page).select("doc_id", F.col("page").alias("table_id"), "page", F.when(F.col("page") % 7 == 6, 70.0).otherwise(50.0).alias("x0"), F.lit(100.0).alias("y0"), F.lit(300.0).alias("x1"), F.lit(3).alias("cols"), told.alias("context"), F.when(F.col("page") == 2, "A|B").otherwise("a|b").alias("header"))
+    return layout.continued(rows)
+
+
+@query("lineitem")
+def table_pages(items):
+    """Each order's first items as an HTML table, the header a cell over two columns."""
+    kept = batch.first_of_each(items, "l_orderkey", [F.col("l_linenumber"), F.col("l_partkey")], 2)
+    cell = lambda c, span: F.struct(c.cast("string").alias("text"), F.lit(1).alias("rowspan"), F.lit(span).alias("colspan"))
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", F.array(cell(F.col("l_partkey"), 1), cell(F.concat(F.col("l_returnflag"), F.lit(" & co")), 1)).alias("cells")))), lambda r: r["cells"])
+    made = kept.groupBy(F.col("l_orderkey").alias("table_id")).agg(F.concat(F.array(F.array(cell(F.lit("Items <2>"), 2))), rows).alias("grid"))
+    return made.select("table_id", fields.table_html(F.col("grid"), F.lit(1)).alias("html"))
+
+
+@query("documents")
+def covered_pages(docs):
+    """Pages with two images that overlap by a share that grows with the page."""
+    pages = docs.select("doc_id", F.explode(F.sequence(F.lit(0), F.least(F.coalesce(F.length("text"), F.lit(0)) / 500, F.lit(9)).cast("int"))).alias("page")).withColumns({"width": F.lit(600.0), "height": F.lit(800.0)})
+    box = lambda x, w: F.array(x, F.lit(0.0), x + w, F.lit(400.0))
+    boxes = pages.select("doc_id", "page", F.explode(F.array(box(F.lit(0.0), F.lit(400.0)), box(50.0 * F.col("page"), F.lit(500.0)))).alias("box"))
+    return layout.dominant_pages(boxes, pages, 0.7).select("doc_id", F.round("share", 6).alias("share"))
+
+
+@query("documents")
+def numbered_titles(docs):
+    """Lines in pairs on one baseline, the left one a section number at times."""
+    rows = L.lines_of(docs).where("seq < 60")
+    left = F.col("seq") % 2 == 0
+    text = F.when(left & (F.col("seq") % 6 == 0), F.concat((F.col("seq") / 6 + 1).cast("int").cast("string"), F.lit(".2"))).otherwise(F.col("text"))
+    y = F.floor(F.col("seq") / 2) * 14.0
+    placed = rows.select("doc_id", F.lit(0).alias("page"), "seq", text.alias("text"), F.when(left, 50.0).otherwise(80.0).alias("x0"), F.when(left, 70.0).otherwise(300.0).alias("x1"), y.alias("y0"), (F.col("seq") % 4 == 1).alias("is_bold"))
+    return layout.number_and_title(placed)
+
+
+@query("documents")
+def text_hashes(docs):
+    return docs.select("doc_id", F.sha2("text", 256).alias("sha256"))

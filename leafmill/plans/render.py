@@ -70,6 +70,52 @@ def chunks(markdown_: DataFrame, most: int = 200) -> DataFrame:
     return out.withColumn("chunk", F.row_number().over(Window.partitionBy("doc_id").orderBy("seq")) - 1).drop("seq")
 
 
+def blocks_of(markdown_: DataFrame) -> DataFrame:
+    """``doc_id, block, text``: what blank lines part, a code fence whole, front matter left out."""
+    body = F.trim(F.regexp_replace("text", r"\A---\n(?s:.*?)\n---(?:\n|\z)", ""))
+    rows = markdown_.select("doc_id", F.posexplode(F.split(F.regexp_replace(body, r"^\s+|\s+\z", ""), r"\n\s*\n")).alias("seq", "text"))
+    marks = F.regexp_count("text", F.lit(r"(?m)^\s*(?:`{3,}|~{3,})"))
+    inside = F.coalesce(F.sum(marks).over(L.above()), F.lit(0)) % 2 == 1
+    rows = rows.withColumn("inside", inside).withColumn("block", F.sum((~F.col("inside")).cast("int")).over(L.so_far()) - 1)
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "\n\n")
+    return rows.groupBy("doc_id", F.col("block").cast("int").alias("block")).agg(whole.alias("text"))
+
+
+def block_chunks(markdown_: DataFrame, most: int = 200) -> DataFrame:
+    """``doc_id, chunk, path, text, tokens, oversize``: a chunk for each block, under its section's path.
+
+    A table of more than ``most`` tokens is parted between rows, each part under
+    the table's header; any other block stays whole and is marked.
+    """
+    blocks = blocks_of(markdown_)
+    is_head = F.col("text").rlike(r"\A#{1,6}\s+[^\n]+\z")
+    heads = blocks.where(is_head).select("doc_id", F.col("block").alias("seq"), F.length(F.regexp_extract("text", r"^(#+)", 1)).alias("level"), F.regexp_extract("text", r"^#+\s+([^\n]+)", 1).alias("title"))
+    paths = L.section_paths(heads).select("doc_id", F.col("seq").alias("section"), "path")
+    rows = blocks.withColumn("seq", F.col("block")).withColumn("head", is_head).withColumn("section", F.max(F.when(is_head, F.col("block"))).over(L.so_far()))
+    rows = rows.join(paths, ["doc_id", "section"], "left").withColumn("path", F.coalesce("path", F.lit("")))
+    context = F.when((F.col("path") != "") & ~F.col("head"), F.concat("path", F.lit("\n\n"))).otherwise("")
+    lines = L.split_lines(F.col("text"))
+    table = (F.size(lines) >= 3) & F.col("text").startswith("|") & F.get(lines, F.lit(1)).rlike(r"^[| :\-]+$")
+    header = F.array_join(F.slice(lines, 1, 2), "\n")
+    fixed = T.words(context) + T.words(header)
+    start = F.struct(F.lit(0).alias("tokens"), F.lit(-1).alias("part"), F.array().cast("array<struct<part:int,row:string>>").alias("out"))
+
+    def add(acc: Column, row: Column) -> Column:
+        n = T.words(row)
+        fresh = (acc["part"] < 0) | (fixed + acc["tokens"] + n > most)
+        part = F.when(fresh, acc["part"] + 1).otherwise(acc["part"])
+        return F.struct(F.when(fresh, n).otherwise(acc["tokens"] + n).alias("tokens"), part.alias("part"), F.concat(acc["out"], F.array(F.struct(part.alias("part"), row.alias("row")))).alias("out"))
+
+    parts = F.aggregate(F.slice(lines, 3, F.greatest(F.size(lines) - 2, F.lit(0))), start, add, lambda acc: acc["out"])
+    numbers = F.array_distinct(F.transform(parts, lambda p: p["part"]))
+    split = F.transform(numbers, lambda k: F.concat(context, header, F.lit("\n"), F.array_join(F.transform(F.filter(parts, lambda p: p["part"] == k), lambda p: p["row"]), "\n")))
+    texts = F.when(table, split).otherwise(F.array(F.concat(context, "text")))
+    out = rows.select("doc_id", "block", "path", F.posexplode(texts).alias("part", "text"))
+    tokens = T.words(F.col("text"))
+    numbered = out.withColumn("chunk", F.row_number().over(Window.partitionBy("doc_id").orderBy("block", "part")) - 1)
+    return numbered.select("doc_id", "chunk", "path", "text", tokens.alias("tokens"), (tokens > most).alias("oversize"))
+
+
 def conversation_documents(turns: DataFrame) -> DataFrame:
     """``doc_id, text``: each conversation as Markdown, a heading for every turn."""
     part = F.concat(F.lit("## "), F.col("role"), F.lit("\n\n"), F.col("text"))
