@@ -8,6 +8,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Ligature characters, and what stands in their slots by the font's class.
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl"}
@@ -66,7 +67,7 @@ def repair_span(text: Column, font: Column, keep_private: bool = False) -> Colum
     return F.when(font.rlike(LAYOUT_FONTS), " ").otherwise(c)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())  # a type object: its name would need a session
 def nfc(texts: pd.Series) -> pd.Series:
     """Spark has no Unicode normalisation of its own; batches of Arrow strings."""
     return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))

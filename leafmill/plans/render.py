@@ -22,6 +22,7 @@ def block_markdown() -> Column:
         .when(F.col("kind") == "caption", F.concat(F.lit("> **"), F.col("text"), F.lit("**")))
         .when(F.col("kind") == "code", F.concat(F.lit("```\n"), F.col("text"), F.lit("\n```")))
         .when(F.col("kind") == "hr", "---")
+        .when(F.col("kind") == "footnote", F.concat(F.lit("[^"), F.coalesce("src", F.lit("n")), F.lit("]: "), F.col("text")))
         .when(F.col("kind") == "image", F.concat(F.lit("!["), F.col("text"), F.lit("]("), F.col("src"), F.lit(")")))
         .when(F.col("kind") == "table", table)
         .otherwise(T.escape_markdown(F.col("text")))

@@ -114,8 +114,40 @@ def _local(e: ElementTree.Element) -> str:
     return e.tag.rpartition("}")[2]
 
 
+def epub_contents(archive: Archive, package: ElementTree.Element, base: str) -> list[tuple[int, str, str]]:
+    """``depth, title, path`` of the contents, from the navigation document or else the NCX."""
+    items = [e for e in package.iter() if _local(e) == "item"]
+
+    def at(href: str) -> str:
+        return posixpath.normpath(posixpath.join(base, unquote(href.partition("#")[0])))
+
+    nav = next((e.get("href") for e in items if "nav" in (e.get("properties") or "").split()), None)
+    if nav and at(nav) in archive.names:
+        return [(d, t, posixpath.normpath(posixpath.join(posixpath.dirname(at(nav)), unquote(h.partition("#")[0])))) for d, t, h in html.contents(decode(archive.read(at(nav))))]
+    named = next((e.get("toc") for e in package.iter() if _local(e) == "spine"), None)
+    ncx = next((e.get("href") for e in items if e.get("id") == named), None) if named else None
+    out: list[tuple[int, str, str]] = []
+    if ncx and at(ncx) in archive.names:
+        pending = [(1, e) for e in xml(archive.read(at(ncx))).iter() if _local(e) == "navMap"]
+        while pending:
+            depth, point = pending.pop()
+            kids = [k for k in point if _local(k) == "navPoint"]
+            for k in kids:
+                label = next(("".join(x.itertext()).strip() for x in k if _local(x) == "navLabel"), "")
+                source = next((x.get("src") or "" for x in k if _local(x) == "content"), "")
+                if label:
+                    out.append((depth, label, posixpath.normpath(posixpath.join(posixpath.dirname(at(ncx)), unquote(source.partition("#")[0])))))
+            pending += [(depth + 1, k) for k in reversed(kids)]
+    return out
+
+
 def epub(content: bytes) -> tuple[str, list]:
-    """Title and blocks of an EPUB, its parts in reading order."""
+    """Title and blocks of an EPUB, its parts in reading order.
+
+    Notes and references to them carry the number of the part that holds the
+    note, so a note in a part of its own keeps its reference.  A part without a
+    heading takes its title from the contents, unless that is a bare number.
+    """
     archive = Archive(content)
     rootfile = next((e.get("full-path") for e in xml(archive.read("META-INF/container.xml")).iter() if _local(e) == "rootfile"), None)
     if not rootfile:
@@ -123,14 +155,34 @@ def epub(content: bytes) -> tuple[str, list]:
     package, base = xml(archive.read(rootfile)), posixpath.dirname(rootfile)
     title = next(((e.text or "").strip() for e in package.iter() if _local(e) == "title"), "")
     items = {e.get("id"): e.get("href") or "" for e in package.iter() if _local(e) == "item"}
+    spine = [posixpath.normpath(posixpath.join(base, unquote(items.get(e.get("idref"), "")))) for e in package.iter() if _local(e) == "itemref"]
+    place = {name: k + 1 for k, name in reversed(list(enumerate(spine)))}
+    told: dict[str, tuple[int, str]] = {}
+    for depth, label, path in epub_contents(archive, package, base):
+        told.setdefault(path, (depth, label))
     out = []
-    for ref in (e.get("idref") for e in package.iter() if _local(e) == "itemref"):
-        name = posixpath.normpath(posixpath.join(base, unquote(items.get(ref, ""))))
-        if name in archive.names:
-            for b in html.read(decode(archive.read(name))).blocks:
-                same = out and b.kind == "heading" == out[-1].kind and b.parts == out[-1].parts
-                if not same:
-                    out.append(b)
+    for name in spine:
+        if name not in archive.names:
+            continue
+        found = html.read(decode(archive.read(name))).blocks
+
+        def link(m: re.Match, here: str = name) -> str:
+            path, _, note = unquote(m[1]).partition("#")
+            there = posixpath.normpath(posixpath.join(posixpath.dirname(here), path)) if path else here
+            return f"[^{place.get(there, place[here])}-{note or path}]"
+
+        for b in found:
+            b.parts = [re.sub(r"\[\^([^\]]*)\]", link, p) for p in b.parts]
+            if b.kind == "footnote":
+                b.src = f"{place[name]}-{b.src}"
+        if name in told and found and not any(b.kind == "heading" for b in found[:6]):
+            depth, label = told[name]
+            if not re.fullmatch(r"(?i)(section|chapter|part)\s*\d+", label):
+                found.insert(0, html._Block("heading", level=min(depth, 6), parts=[label]))
+        for b in found:
+            same = out and b.kind == "heading" == out[-1].kind and re.sub(r"\W", "", b.parts[0].lower()) == re.sub(r"\W", "", out[-1].parts[0].lower())
+            if not same:
+                out.append(b)
     return title, out
 
 
@@ -171,7 +223,11 @@ def docx(content: bytes) -> tuple[str, list]:
             if outline is not None or told:
                 levels[s.get(f"{_W}styleId")] = int(outline.get(f"{_W}val", 0)) + 1 if outline is not None else int(told[1])
     body = xml(archive.read("word/document.xml")).find(f"{_W}body")
-    out = []
+    out, cited = [], []
+    for e in body.iter() if body is not None else ():
+        kind = {f"{_W}footnoteReference": "footnote", f"{_W}endnoteReference": "endnote"}.get(e.tag)
+        if kind and (kind, e.get(f"{_W}id")) not in cited:
+            cited.append((kind, e.get(f"{_W}id")))
     for e in body if body is not None else ():
         if e.tag == f"{_W}p":
             text = _docx_text(e)
@@ -185,7 +241,21 @@ def docx(content: bytes) -> tuple[str, list]:
             rows = _docx_rows(e)
             if rows:
                 out.append(html._Block("table", rows=rows, header_rows=len(e.findall(f"{_W}tr/{_W}trPr/{_W}tblHeader")) or 1))
-    return title, out
+    return title, out + _docx_notes(archive, cited)
+
+
+def _docx_notes(archive: Archive, cited: list[tuple[str, str]]) -> list:
+    """The texts of the notes that are cited, each once, in the order of their first use."""
+    texts = {}
+    for kind in ("footnote", "endnote"):
+        if (name := f"word/{kind}s.xml") in archive.names:
+            for note in xml(archive.read(name)).iter(f"{_W}{kind}"):
+                texts[kind, note.get(f"{_W}id")] = " ".join(filter(None, map(_docx_text, note.iter(f"{_W}p"))))
+    return [html._Block("footnote", src=_docx_note(*c), parts=[texts[c]]) for c in cited if texts.get(c)]
+
+
+def _docx_note(kind: str, number: str | None) -> str:
+    return f"e{number}" if kind == "endnote" else str(number)
 
 
 def _docx_text(p: ElementTree.Element) -> str:
@@ -201,7 +271,7 @@ def _docx_text(p: ElementTree.Element) -> str:
         elif e.tag in (f"{_W}tab", f"{_W}br"):
             parts.append(" ")
         elif e.tag in (f"{_W}footnoteReference", f"{_W}endnoteReference"):
-            parts.append(f"[^{e.get(f'{_W}id')}]")
+            parts.append(f"[^{_docx_note('endnote' if 'endnote' in e.tag else 'footnote', e.get(f'{_W}id'))}]")
     return re.sub(r"\s+", " ", "".join(parts)).strip()
 
 
@@ -220,11 +290,76 @@ def _docx_rows(table: ElementTree.Element) -> list[list[str]]:
     return [r for r in out if any(r)]
 
 
+def rtf(content: bytes) -> list[str]:
+    """The paragraphs of an RTF file: its text, without what control words and hidden groups hold."""
+    hidden = {"fonttbl", "colortbl", "stylesheet", "info", "pict", "header", "footer", "generator", "listtable", "listoverridetable", "themedata", "datastore"}
+    out, skip, depth, skipped = [], 0, 0, []
+    pattern = re.compile(rb"\\'([0-9a-fA-F]{2})|\\u(-?\d+) ?\??|\\([a-zA-Z]+)(-?\d+)? ?|\\([^a-zA-Z])|([{}])|[\r\n]+|([^\\{}\r\n]+)")
+    for m in pattern.finditer(content):
+        byte, code, word, _, sign, brace, text = m.groups()
+        if brace == b"{":
+            depth += 1
+        elif brace == b"}":
+            depth -= 1
+            while skipped and depth < skipped[-1]:
+                skipped.pop()
+        elif sign == b"*" or (word and word.decode() in hidden):
+            skipped.append(depth)
+        elif skipped:
+            continue
+        elif byte:
+            out.append(bytes.fromhex(byte.decode()).decode("cp1252", "replace"))
+        elif code:
+            out.append(chr(int(code) % 65536))
+        elif word in (b"par", b"line", b"row", b"page"):
+            out.append("\n")
+        elif word in (b"tab", b"cell"):
+            out.append(" ")
+        elif sign:
+            out.append({b"~": " ", b"_": "-", b"-": ""}.get(sign, sign.decode("latin-1")))
+        elif text:
+            out.append(text.decode("cp1252", "replace"))
+    return [p for p in (re.sub(r"[ \t]+", " ", line).strip() for line in "".join(out).split("\n")) if p]
+
+
+def odt(content: bytes) -> tuple[str, list]:
+    """Title and blocks of an ODT: headings by outline level, list items, tables, paragraphs."""
+    archive = Archive(content)
+    title = ""
+    if "meta.xml" in archive.names:
+        title = next(((e.text or "").strip() for e in xml(archive.read("meta.xml")).iter() if _local(e) == "title"), "")
+
+    def text(e: ElementTree.Element) -> str:
+        return re.sub(r"\s+", " ", "".join((e.text or "", *(" " * (_local(k) in ("s", "tab", "line-break")) + text(k) + (k.tail or "") for k in e if _local(k) != "note")))).strip(" \n")
+
+    out = []
+    pending = [(e, 0) for e in reversed([k for e in xml(archive.read("content.xml")).iter() if _local(e) == "text" and _local(e) != "p" for k in e] or [])]
+    while pending:
+        e, level = pending.pop()
+        name = _local(e)
+        if name == "h":
+            rank = next((v for k, v in e.attrib.items() if k.endswith("outline-level")), "1")
+            out.append(html._Block("heading", level=min(6, int(rank) if rank.isdigit() else 1), parts=[text(e)]))
+        elif name == "p" and text(e):
+            out.append(html._Block("list_item" if level else "para", level=level, parts=[text(e)]))
+        elif name == "table":
+            rows = [[" ".join(filter(None, (text(p) for p in c.iter() if _local(p) == "p"))) for c in r if _local(c) == "table-cell"] for r in e.iter() if _local(r) == "table-row"]
+            if any(map(any, rows)):
+                out.append(html._Block("table", rows=[r for r in rows if any(r)], header_rows=1))
+        elif name in ("list", "list-item", "section", "list-header"):
+            pending += [(k, level + (name == "list")) for k in reversed(list(e))]
+    return title, [b for b in out if b.rows or b.parts[0]]
+
+
 def read_file(content: bytes, name: str) -> tuple[str, str, str, str, list]:
     """Format, status, reason, title and blocks of one file."""
     kind = detect(content, name)
     try:
-        if kind == "epub":
+        if kind == "pdf":
+            from leafmill.sources import pdf  # which takes its limits from here
+
+            title, found = pdf.blocks(content)
+        elif kind == "epub":
             title, found = epub(content)
         elif kind == "docx":
             title, found = docx(content)
@@ -233,11 +368,15 @@ def read_file(content: bytes, name: str) -> tuple[str, str, str, str, list]:
             title, found = "".join(reader.title).strip(), reader.blocks
         elif kind in ("txt", "md"):
             title, found = "", [html._Block("para", parts=[p.strip()]) for p in re.split(r"\n\s*\n", decode(content)) if p.strip()]
+        elif kind == "rtf":
+            title, found = "", [html._Block("para", parts=[p]) for p in rtf(content)]
+        elif kind == "odt":
+            title, found = odt(content)
         else:
             return kind, "unsupported", f"no reader for {kind or 'this file'}", "", []
     except Refused as error:
         return kind, "refused", str(error), "", []
-    except (ElementTree.ParseError, KeyError, ValueError, zipfile.BadZipFile, OSError, RuntimeError) as error:
+    except (ElementTree.ParseError, KeyError, TypeError, IndexError, AttributeError, ValueError, zipfile.BadZipFile, OSError, RuntimeError) as error:
         return kind, "error", f"{type(error).__name__}: {error}", "", []
     return kind, "ok", "", title, found
 

@@ -22,6 +22,9 @@ OPENS = {"p": "para", "li": "list_item", "blockquote": "quote", "figcaption": "c
 PARTS = {"div", "section", "article", "main", "header", "footer", "aside", "body", "ul", "ol", "dl", "figure", "form"}
 MARKS = {"b": "**", "strong": "**", "em": "*", "i": "*", "code": "`"}
 _SPACE = re.compile(r"[ \t\n\x0b\f\r]+")
+#: What marks a note, and a reference to one.
+NOTE_TYPES = ("footnote", "endnote", "rearnote", "doc-footnote", "doc-endnote")
+REF_TYPES = ("noteref", "doc-noteref")
 
 
 @dataclass
@@ -51,6 +54,9 @@ class _Reader(HTMLParser):
         self.links: list[tuple[str, str]] = []
         self.table: _Block | None = None
         self.cell: list[str] | None = None
+        self.outer: list[tuple[_Block, list[str] | None]] = []
+        self.notes: list[tuple[int, str]] = []  # depth of the open element, and the note's id
+        self.ref: tuple[int, str] | None = None
         self.link: tuple[str, list[str]] | None = None
         self.marks: list[str] = []
 
@@ -64,6 +70,8 @@ class _Reader(HTMLParser):
             for mark in set(MARKS.values()):
                 text = text.replace(f"{mark} {mark}", " ") if mark != "*" else text
             if text.replace("*", "").replace("`", "").strip():
+                if self.notes and self.now.kind in ("para", "list_item"):
+                    self.now.kind, self.now.src = "footnote", self.notes[-1][1]
                 self.now.parts = [text]
                 self.blocks.append(self.now)
         self.now = None
@@ -85,17 +93,29 @@ class _Reader(HTMLParser):
         if tag in VOID:
             return
         self.open.append(tag)
+        kinds = f"{a.get('epub:type') or ''} {a.get('role') or ''} {a.get('class') or ''}".split()
         if tag == "a":
             self.link = (a.get("href") or "", [])
+            if not self._skipping() and any(k in REF_TYPES for k in kinds) and self.ref is None:
+                self.handle_data(f"[^{a.get('href') or ''}]")
+                self.ref = (len(self.open), a.get("href") or "")
         if self._skipping():
             return
+        in_notes = any(k in ("endnotes", "footnotes", "rearnotes", "doc-endnotes") for k in kinds) or (self.notes and not self.notes[-1][1])
+        if any(k in NOTE_TYPES for k in kinds) or (tag == "li" and in_notes and a.get("id")):
+            self._end()
+            self.notes.append((len(self.open), a.get("id") or "n"))
+        elif in_notes and any(k.endswith("notes") for k in kinds):
+            self.notes.append((len(self.open), ""))
         if len(tag) == 2 and tag[0] == "h" and tag[1].isdigit():
             self._begin("heading", level=int(tag[1]))
         elif tag == "pre":
             self._begin("code")
-        elif tag == "table" and not self.table:
+        elif tag == "table":
             self._end()
-            self.table = _Block("table", rows=[])
+            if self.table:
+                self.outer.append((self.table, self.cell))
+            self.table, self.cell = _Block("table", rows=[]), None
         elif tag == "tr" and self.table:
             self.table.rows.append([])
         elif tag in ("td", "th") and self.table:
@@ -111,7 +131,7 @@ class _Reader(HTMLParser):
             self._begin(OPENS[tag], level=0)
         elif tag in PARTS:
             self._end()
-        elif tag in MARKS and self.cell is None and "pre" not in self.open:
+        elif tag in MARKS and self.cell is None and not self.ref and "pre" not in self.open:
             self.now = self.now or _Block("para")
             self.now.parts.append(MARKS[tag])
             self.marks.append(MARKS[tag])
@@ -121,6 +141,12 @@ class _Reader(HTMLParser):
             return
         while self.open.pop() != tag:
             pass
+        if self.ref and len(self.open) < self.ref[0]:
+            self.ref = None
+        if self.notes and len(self.open) < self.notes[-1][0]:
+            self._end()
+            while self.notes and len(self.open) < self.notes[-1][0]:
+                self.notes.pop()
         if tag == "a" and self.link:
             self.links.append((self.link[0], _SPACE.sub(" ", "".join(self.link[1])).strip()))
             self.link = None
@@ -134,14 +160,26 @@ class _Reader(HTMLParser):
             self.table.rows[-1].append(_SPACE.sub(" ", "".join(self.cell)).strip())
             self.cell = None
         elif tag == "table" and self.table:
-            self.table.rows = [r for r in self.table.rows if r]
-            if self.table.rows:
-                self.blocks.append(self.table)
-            self.table = self.cell = None
+            self._end_table()
         elif tag in OPENS or tag in PARTS or tag == "pre" or re.fullmatch(r"h\d", tag):
             self._end()
 
+    def _end_table(self) -> None:
+        """A table within a cell is that cell's text; any other is a block."""
+        rows = [r for r in self.table.rows if r]
+        self.table.rows = rows
+        done, self.table, self.cell = self.table, None, None
+        if self.outer:
+            self.table, self.cell = self.outer.pop()
+            if self.cell is not None:
+                self.cell.append(" " + " ".join(" ".join(r) for r in rows) + " ")
+                return
+        if rows:
+            self.blocks.append(done)
+
     def handle_data(self, data: str) -> None:
+        if self.ref:
+            return
         if self.open[-1:] == ["title"] and "head" in self.open:
             self.title.append(data)
         if self._skipping():
@@ -163,9 +201,63 @@ class _Reader(HTMLParser):
     def close(self) -> None:
         super().close()
         self._end()
-        if self.table and any(self.table.rows):
-            self.blocks.append(self.table)
-            self.table = None
+        while self.table:
+            if self.cell is not None and self.table.rows:
+                self.table.rows[-1].append(_SPACE.sub(" ", "".join(self.cell)).strip())
+            self._end_table()
+
+
+class _Contents(HTMLParser):
+    """The entries of a navigation document's table of contents."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.entries: list[tuple[int, str, str]] = []
+        self.inside, self.depth = False, 0
+        self.link: tuple[str, list[str]] | None = None
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        a = dict(attrs)
+        if tag == "nav":
+            self.inside = "toc" in (a.get("epub:type") or "")
+        elif tag == "ol" and self.inside:
+            self.depth += 1
+        elif tag == "a" and self.inside:
+            self.link = (a.get("href") or "", [])
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag == "nav":
+            self.inside = False
+        elif tag == "ol" and self.inside:
+            self.depth -= 1
+        elif tag == "a" and self.link:
+            self.entries.append((max(1, self.depth), "".join(self.link[1]).strip(), self.link[0]))
+            self.link = None
+
+    def handle_data(self, data: str) -> None:
+        if self.link:
+            self.link[1].append(data)
+
+
+def contents(markup: str) -> list[tuple[int, str, str]]:
+    """``depth, title, href`` of each entry of an EPUB's navigation document."""
+    out = _Contents()
+    out.feed(markup)
+    out.close()
+    return out.entries
+
+
+def style_map(css: str) -> dict[str, tuple[float | None, bool | None]]:
+    """Size in points and boldness that a style sheet gives each class; a broken rule gives none."""
+    scale = {"": 1.0, "pt": 1.0, "px": 0.75, "em": 12.0, "rem": 12.0, "%": 0.12}
+    out: dict[str, tuple[float | None, bool | None]] = {}
+    for selectors, body in re.findall(r"([^{}]+)\{([^}]*)\}", css):
+        size = re.search(r"font-size\s*:\s*(\d*\.?\d+)\s*(pt|px|rem|em|%)?(?![\d.])", body)
+        weight = re.search(r"font-weight\s*:\s*(bold|[4-9]00|normal)", body)
+        for name in re.findall(r"\.([A-Za-z0-9_\-]+)", selectors):
+            was = out.get(name, (None, None))
+            out[name] = (float(size[1]) * scale[size[2] or ""] if size else was[0], weight[1] not in ("normal", "400", "500") if weight else was[1])
+    return out
 
 
 def read(html: str | None) -> _Reader:
