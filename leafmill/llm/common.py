@@ -11,6 +11,7 @@ from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -20,8 +21,8 @@ _made: list[tuple[SparkSession, str]] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    A folder of our own is made only where the session names none, which is
-    right for local mode alone.
+    A folder of our own is made only where the session names none, and only in
+    local mode; on a cluster that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -29,6 +30,8 @@ def shared_dir(spark: SparkSession) -> str:
     own = spark.sparkContext._jsc.sc().getCheckpointDir()
     if own.isDefined():
         return str(own.get()).rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="leafmill-"))
     return str(spark.sparkContext._jsc.sc().getCheckpointDir().get()).rstrip("/")
 
@@ -40,13 +43,21 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def saved(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+#: Rows that a task of a narrow table takes at least, and the tasks that any table has.
+ROWS_A_TASK, LEAST_TASKS = 250_000, 8
+
+
+def saved(df: DataFrame, name: str, compression: str = "snappy", rows: int | None = None) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again.
 
     This cuts the lineage: a lost executor costs a reread, never a rerun of
-    what came before.
+    what came before.  ``rows`` is a bound of the rows of a narrow table: where
+    a shuffle would leave many small files, it is written in as many as the
+    rows call for.
     """
     path = new_path(df.sparkSession, name)
+    if rows is not None:
+        df = df.coalesce(max(LEAST_TASKS, -(-rows // ROWS_A_TASK)))
     df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -117,5 +128,40 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[
     yield batch.slice(start)
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """``names``, each with as many underscores before it as make it new among ``columns``."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
+def first_ids(rows: DataFrame, seed: int, most: int) -> DataFrame:
+    """``doc_id``: the first ``most`` different ids of ``rows`` by a hash of the id and ``seed``.
+
+    Each task sends on its own first ids only, so nothing else is shuffled,
+    whatever the input.
+    """
+
+    def make():
+        held = pa.table({"place": pa.array([], pa.int64()), "doc_id": pa.array([], pa.int64())})
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            nonlocal held
+            for batch in batches:
+                both = pa.concat_tables([held, pa.Table.from_batches([batch])])
+                held = both.group_by(["place", "doc_id"]).aggregate([]).sort_by([("place", "ascending"), ("doc_id", "ascending")]).slice(0, most).select(["place", "doc_id"])
+            yield from held.to_batches()
+
+        return run
+
+    workers_see_us(rows.sparkSession)
+    keyed = rows.where("doc_id is not null").select(F.xxhash64("doc_id", F.lit(seed)).alias("place"), "doc_id")
+    few = keyed.mapInArrow(lambda batches: make()(batches), "place long, doc_id long")
+    return few.distinct().orderBy("place", "doc_id").limit(most).select("doc_id")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
