@@ -247,3 +247,22 @@ ORACLE_SQL: dict[str, str] = {
     "text_hashes": "select doc_id, sha256(text) as sha256 from documents",
 }
 ORACLE_SQL |= {name: expected(name) for name in CASES}
+
+ORACLE_SQL |= {
+    "wrapped_titles": f"""with {_LINES}, r as (select doc_id, seq // 6 as page, seq % 6 as pos, (doc_id + seq // 6) % 3 as run, trim(left(text, 30)) as t from lines where seq < 60),
+      g as (select doc_id, page, any_value(run) as run, count(*) as n, max(t) filter (where pos = 0) as first, string_agg(t, ' ' order by pos) filter (where pos <= run) as whole from r group by doc_id, page)
+      select doc_id, page::int as page, case when run > 0 and n > run + 1 then whole else first end as title, (case when run > 0 and n > run + 1 then run + 1 else 1 end)::int as n_lines from g""",
+    "duplicate_results": """with r as (select 's' || (doc_id // 4) as stem, 'Out/' || doc_id || '.md' as path, doc_id % 3 as score, coalesce(strlen(text), 0) as bytes from documents),
+      k as (select *, first_value(path) over (partition by stem order by score, bytes desc, path) as kept from r) select stem, path, kept from k where path <> kept""",
+    "engine_pairs": """with r as (select l_orderkey as case_id, l_linenumber = 1 as ours, max(l_extendedprice)::double as s from lineitem where l_linenumber <= 2 group by all)
+      select a.case_id, a.s as left_seconds, b.s as right_seconds from r a join r b on a.case_id = b.case_id and a.ours and not b.ours""",
+    "table_contexts": f"""with {_PAGES} select doc_id, page as table_id, string_agg(text, ' ' order by y0, x0, seq) as context from rows_ where x0 < 200 and x1 > 50 and (180 - y1 between 0 and 55 or y0 - 300 between 0 and 45) group by doc_id, page""",
+    "margin_terms": f"""with {_LINES}, b as (select doc_id, seq, lower(text) as t, 16 * seq as y from lines where seq < 30), m as (select doc_id, seq + 1000 as seq, trim(string_split(text, ' ')[1]) as t, string_split(text, ' ')[1] as raw, 16 * seq + case when seq % 2 = 0 then 32 else 160 end as y from lines where seq < 30)
+      select distinct m.doc_id, m.seq from m join b on m.doc_id = b.doc_id and abs(b.y - m.y) <= 40 and contains(b.t, lower(m.t)) where m.t <> '' and length(m.raw) <= 40""",
+    "found_boxes": f"""with {_PAGES}, f as (select doc_id, page, seq, x0, x1, y1 + 1 as a, y1 + 1 + seq % 8 as b from rows_ where seq >= 0)
+      select doc_id, page, seq as found_id from f where not exists (select 1 from rows_ r where r.doc_id = f.doc_id and r.page = f.page and least(r.x1, f.x1) > greatest(r.x0, f.x0) and least(r.y1, f.b) > greatest(r.y0, f.a))""",
+    "told_levels": f"""with {_MD}, t as (select distinct doc_id, regexp_replace(lower(title), '[^a-z0-9]', '', 'g') as k from heads where seq % 24 = 0)
+      select h.doc_id, h.seq, case when t.k is null then h.level else 4 end as level from heads h left join t on h.doc_id = t.doc_id and regexp_replace(lower(h.title), '[^a-z0-9]', '', 'g') = t.k""",
+    "changed_lines": f"""with {_LINES}, c as (select doc_id, seq, text as before, case when regexp_matches(trim(x), '^[A-Za-z0-9+/]{{40,}}={{0,2}}$') then '' else x end as after from (select doc_id, seq, t as text, regexp_replace(replace(regexp_replace(t, '\\(c\\)(\\s*\\d{{4}})', '©\\1', 'g'), '7!', '↦'), '([^ \\t])[ \\t]+', '\\1 ', 'g') as x from (select *, case when seq % 3 = 0 then replace(text, ' ', '  ') else text end as t from lines))) select * from c where before <> after""",
+    "dense_headings": f"""with {_COLS}, h as (select * from cols where seq >= 0 and (seq % 20 < 6 or seq % 20 = 12)) select doc_id, seq, count(*) over (partition by doc_id, page, col order by seq range between 3 preceding and 3 following) > 4 as dense from h""",
+}

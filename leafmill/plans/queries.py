@@ -604,3 +604,77 @@ def numbered_titles(docs):
 @query("documents")
 def text_hashes(docs):
     return docs.select("doc_id", F.sha2("text", 256).alias("sha256"))
+
+
+@query("documents")
+def wrapped_titles(docs):
+    """Slides of six lines, the first two or three of them a title that runs on."""
+    rows = L.lines_of(docs).where("seq < 60")
+    slide, at = F.floor(F.col("seq") / 6).cast("int"), F.col("seq") % 6
+    run = F.pmod(F.col("doc_id") + slide, F.lit(3)).cast("int")
+    y = F.when(at <= run, 60.0 + 26 * at).otherwise(200.0 + 30 * at)
+    placed = rows.select("doc_id", slide.alias("page"), "seq", F.left("text", F.lit(30)).alias("text"), F.when(at <= run, 24.0).otherwise(14.0).alias("size"), F.lit(60.0).alias("x0"), y.alias("y0"))
+    return decks.wrapped_titles(placed)
+
+
+@query("documents")
+def duplicate_results(docs):
+    rows = docs.select(F.concat(F.lit("s"), F.floor(F.col("doc_id") / 4).cast("string")).alias("stem"), F.concat(F.lit("Out/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), (F.col("doc_id") % 3).alias("score"), F.lit(0).alias("issues"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes"))
+    return batch.deduplicated(rows).select("stem", "path", "kept")
+
+
+@query("lineitem")
+def engine_pairs(items):
+    """Orders' items as runs of two engines over one case."""
+    runs = items.where("l_linenumber <= 2").groupBy(F.col("l_orderkey").alias("case_id"), F.when(F.col("l_linenumber") == 1, "ours").otherwise("theirs").alias("engine")).agg(F.max("l_extendedprice").cast("double").alias("seconds"))
+    return batch.side_by_side(runs, "ours", "theirs")
+
+
+@query("documents")
+def table_contexts(docs):
+    """Lines round a table in the middle of each page's left column."""
+    rows = _pages(docs)
+    tables = rows.select("doc_id", "page").distinct().withColumns({"table_id": F.col("page"), "x0": F.lit(50.0), "y0": F.lit(180.0), "x1": F.lit(200.0), "y1": F.lit(300.0)})
+    return layout.near_context(tables, rows)
+
+
+@query("documents")
+def margin_terms(docs):
+    """First words of lines set in the margin two lines on, where some only repeat the text."""
+    rows = L.lines_of(docs).where("seq < 30").select("doc_id", F.lit(0).alias("page"), "seq", "text", (16.0 * F.col("seq")).alias("y0"), F.lit(False).alias("margin"))
+    terms = rows.select("doc_id", "page", (F.col("seq") + 1000).alias("seq"), F.substring_index("text", " ", 1).alias("text"), (F.col("y0") + F.when(F.col("seq") % 2 == 0, 32.0).otherwise(160.0)).alias("y0"), F.lit(True).alias("margin"))
+    return layout.repeated_margin_terms(rows.unionByName(terms), 16.0)
+
+
+@query("documents")
+def found_boxes(docs):
+    """Recognised boxes that lie over no line."""
+    rows = _pages(docs)
+    box = F.array("x0", "y0", "x1", "y1")
+    found = rows.where("seq >= 0").select("doc_id", "page", F.col("seq").alias("found_id"), F.array(F.col("x0"), F.col("y1") + 1.0, F.col("x1"), F.col("y1") + 1.0 + F.col("seq") % 8).alias("box"))
+    return layout.apart_from(found, rows.select("doc_id", "page", box.alias("box"))).select("doc_id", "page", "found_id")
+
+
+@query("documents")
+def told_levels(docs):
+    """Heading levels as a list of titles says, where it names them."""
+    heads = L.headings_of(L.as_markdown(docs))
+    told = heads.where("seq % 24 = 0").select("doc_id", T.title_key(F.col("title")).alias("title_key"), F.lit(4).alias("level")).distinct()
+    return outline.override_levels(heads, told).select("doc_id", "seq", "level")
+
+
+@query("documents")
+def changed_lines(docs):
+    """Lines, a third of them with wide blanks, that the repair of a page changes."""
+    from leafmill.plans import outputs
+
+    before = L.lines_of(docs).withColumn("text", F.when(F.col("seq") % 3 == 0, F.replace("text", F.lit(" "), F.lit("  "))).otherwise(F.col("text")))
+    after = before.withColumn("text", repair.repair_line_parts(F.col("text")))
+    return outputs.transformations(before, after)
+
+
+@query("documents")
+def dense_headings(docs):
+    """Heading candidates too near to one another to be any."""
+    rows = layout.columns(_pages(docs)).where("seq >= 0 and (seq % 20 < 6 or seq % 20 = 12)")
+    return layout.dense_headings(rows, 3, 4).select("doc_id", "seq", "dense")
