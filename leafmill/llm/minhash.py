@@ -17,10 +17,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import map_batches, saved, slices, workers_see_us
+from leafmill.llm.common import map_batches, saved, slices, unused, workers_see_us
 from leafmill.llm.components import components
 from leafmill.llm.words import mix, shingle_sets, stream, words_of
 
@@ -32,9 +32,9 @@ class NearDup:
     A pair at the threshold of 0.85 shares none of the 40 bands of 7 with a
     chance of 2e-7.  ``small`` is the bucket size up to which, after the first
     star, all pairs between different groups are confirmed; larger buckets get
-    stars around ``centres`` further members a round first, for as long as a
-    round finds links, ``rounds`` at least, and the pairs still between
-    different groups are then compared in blocks of about ``block`` members.
+    ``rounds`` rounds of stars around ``centres`` further members first, which
+    join most of what is alike, and all pairs still between different groups
+    are then compared, in blocks of about ``block`` members.
     """
 
     words: int = 5
@@ -144,22 +144,23 @@ def _sets(docs: DataFrame, p: NearDup, near: np.ndarray) -> DataFrame:
     return map_batches(docs, make, "id long, hashes binary")
 
 
-def _sets_of(ids: DataFrame, docs: DataFrame, p: NearDup) -> DataFrame:
-    ids = saved(ids.toDF("doc_id").distinct(), "candidates")
+def _sets_of(ids: DataFrame, docs: DataFrame, p: NearDup, most: int) -> DataFrame:
+    ids = saved(ids.toDF("doc_id").distinct(), "candidates", rows=most)
     return saved(_sets(docs, p, _filter(ids)).join(ids.withColumnRenamed("doc_id", "id"), "id", "left_semi"), "sets")
 
 
 def _confirmed(pairs: DataFrame, sizes: DataFrame, docs: DataFrame, p: NearDup) -> DataFrame:
-    """The pairs ``a, b`` whose full sets are similar enough.
+    """The pairs ``a, b`` of a written table whose full sets are similar enough.
 
     Sets of too different sizes need no look at the texts.
     """
+    most = pairs.count()
     for side in "ab":
         pairs = pairs.join(sizes.toDF(side, f"n{side}"), side)
-    pairs = saved(pairs.where(f"100 * least(na, nb) >= {p.percent} * greatest(na, nb)").select("a", "b"), "sized")
+    pairs = saved(pairs.where(f"100 * least(na, nb) >= {p.percent} * greatest(na, nb)").select("a", "b"), "sized", rows=most)
     if pairs.isEmpty():
         return pairs
-    sets = _sets_of(pairs.select("a").union(pairs.select("b")), docs, p)
+    sets = _sets_of(pairs.select("a").union(pairs.select("b")), docs, p, 2 * most)
     both = pairs.join(sets.toDF("b", "of_b"), "b").join(sets.toDF("a", "of_a"), "a").select("a", "b", "of_a", "of_b")
 
     def make():
@@ -183,42 +184,42 @@ def near_duplicates(df: DataFrame, params: NearDup = NearDup(), id_col: str = "d
     A text without words (null, empty) is linked with nothing.  A null id is
     linked with nothing either and stays (component_id null, kept true).  Rows
     that repeat an id and text get equal results; rows that share an id follow
-    their own texts.  Other columns are not looked at.
+    their own texts; of a group the least id is kept, so there are no ties.  A
+    text of any length is one set.  No rows give no rows.  Other columns are not
+    looked at.
     """
     p = params
     docs = df.selectExpr(f"cast(`{id_col}` as bigint) doc_id", f"`{text_col}` text", f"xxhash64(`{text_col}`) text_hash")
     signed = saved(_signed(docs, p), "signed")
+    n = signed.count()
     linked = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = saved(linked.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), "classes")
+    classes = saved(linked.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), "classes", rows=n)
     firsts = linked.withColumnRenamed("doc_id", "rep").join(classes, ["h1", "h2", "rep"], "left_semi")
-    sizes = saved(firsts.select("rep", "n_shingles").distinct(), "sizes")
+    sizes = saved(firsts.select("rep", "n_shingles").distinct(), "sizes", rows=n)
     members = firsts.select("rep", F.explode("bands").alias("key"))
     buckets = members.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("hub")).where("size > 1")
-    shared = saved(members.join(buckets, "key"), "buckets")
-    tested = saved(shared.where("hub <> rep").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
+    rest = saved(members.join(buckets, "key"), "buckets", rows=n * p.bands)
+    most = rest.count()
+    tested = saved(rest.where("hub <> rep").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "pairs", rows=most)
     texts = docs.where("doc_id is not null").drop("text_hash")
     links = saved(_confirmed(tested, sizes, texts, p), "confirmed")
     labels = components(links)
-    done = 0
-    while True:
-        labelled = shared.select("key", "rep", "size", "hub").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-        mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-        rest = saved(labelled.join(mixed, "key", "left_semi").distinct(), "mixed")
+    for done in range(p.rounds):
+        # A bucket of one group stays one, so each round looks at what the round before left.
+        rest = _mixed(rest, labels, most)
         pairs = _stars(rest.where(f"size > {p.small}").drop("hub"), p, done)
         if not done:
             x, y = rest.where(f"size <= {p.small}").alias("x"), rest.alias("y")
             small = x.join(y, F.expr("x.key = y.key and x.rep < y.rep and x.label <> y.label")).selectExpr("x.rep a", "y.rep b")
             pairs = pairs.union(small)
-        fresh = saved(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+        fresh = saved(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs", rows=most)
         new = saved(_confirmed(fresh, sizes, texts, p), "confirmed")
-        done += 1
-        if found := not new.isEmpty():
+        if not new.isEmpty():
             links = links.union(new)
             labels = components(links)
-        if not found and done >= p.rounds:
-            break
         tested = tested.union(fresh)
-    last = _between(rest.where(f"size > {p.small}").select("hub", "rep", "label").distinct(), texts, p)
+        rest = rest.where(f"size > {p.small}")
+    last = _between(_mixed(rest, labels, most).select("hub", "rep", "label").distinct(), texts, p)
     if last is not None and not last.isEmpty():
         labels = components(links.union(last))
     named = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("label", "rep").alias("least"))
@@ -231,14 +232,16 @@ def drop_copies(df: DataFrame, params: NearDup = NearDup(), id_col: str = "doc_i
     """The rows of ``df``, all columns as they are, less all but one of each group.
 
     Of rows that repeat an id and text one stays.  Rows without an id and rows
-    without words stay, for nothing links them.
+    without words stay, for nothing links them.  Other columns may have any
+    names.
     """
     verdicts = saved(near_duplicates(df, params, id_col, text_col), "verdicts")
     kept = verdicts.where("kept").groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"))
-    once, more = (kept.where(x).toDF("_kept_id", "_kept_hash", "_n").drop("_n") for x in ("n = 1 or doc_id is null", "n > 1 and doc_id is not null"))
+    own_id, own_hash = unused(df.columns, "kept_id", "kept_hash")
+    once, more = (kept.where(x).select(F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_hash)) for x in ("n = 1 or doc_id is null", "n > 1 and doc_id is not null"))
 
     def these(ids: DataFrame) -> DataFrame:
-        mine = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_kept_id")) & F.xxhash64(F.col(f"`{text_col}`")).eqNullSafe(F.col("_kept_hash"))
+        mine = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(own_id)) & F.xxhash64(F.col(f"`{text_col}`")).eqNullSafe(F.col(own_hash))
         return df.join(ids, mine, "left_semi")
 
     if more.isEmpty():
@@ -246,6 +249,13 @@ def drop_copies(df: DataFrame, params: NearDup = NearDup(), id_col: str = "doc_i
     return these(once).unionByName(these(more).dropDuplicates([id_col, text_col]))
 
 
+def _mixed(rest: DataFrame, labels: DataFrame, most: int) -> DataFrame:
+    """The members of buckets that still hold different groups, with their group's ``label``."""
+    labelled = rest.select("key", "rep", "size", "hub").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
+    return saved(labelled.join(mixed, "key", "left_semi").distinct(), "mixed", rows=most)
+
+
 def _stars(rest: DataFrame, p: NearDup, done: int) -> DataFrame:
     """Pairs ``a < b`` of each bucket's further centres and what is of another group."""
     out = None
@@ -266,30 +276,29 @@ def _between(members: DataFrame, docs: DataFrame, p: NearDup) -> DataFrame | Non
     both linked to the hub, and then a link between them takes a common element
     of D, at least as many as ``_differences`` says.  So each has one among the
     first of its D in any fixed order; the order here puts those first that no
-    other group has, then the rarer ones.  Texts without one are left out, and
-    the rest are compared, each with each, on what of D other groups have.
+    other group has, then those that few texts have.  Texts without one are
+    left out, and the rest are compared, each with each, on what of D other
+    groups have.  Which elements those are is told by bitmaps of bounded size:
+    one that is full, or two elements on one bit, lets more texts through to
+    the comparison and none less.
     """
     members = saved(members, "members")
-    if members.isEmpty():
+    if not (most := members.count()):
         return None
-    sets = _sets_of(members.select("rep"), docs, p)
+    sets = _sets_of(members.select("rep").union(members.select("hub")), docs, p, 2 * most)
     both = members.join(sets.toDF("rep", "of_rep"), "rep").join(sets.toDF("hub", "of_hub"), "hub")
     diffs = saved(_differences(both, p), "differences")
-    spread = diffs.select("pivot", "row", "label", "d", "far", "strong", "weak", F.explode("diff").alias("e"))
-    useful = spread.groupBy("pivot", "e").agg(F.count("*").alias("n_e"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").drop("low", "high")
-    own = Window.partitionBy("pivot", "row")
-    at = F.col("d") - F.count("*").over(own) + F.row_number().over(own.orderBy("n_e", "e"))
-    ranked = saved(spread.join(useful, ["pivot", "e"]).withColumn("at", at), "ranked")
+    useful = diffs.select("pivot", "label", F.explode("diff").alias("e")).groupBy("pivot", "e").agg(F.count("*").alias("n_e"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    shared, often = _bitmaps(saved(useful.select("pivot", "e", (F.col("n_e") > OFTEN).alias("often")), "useful"))
+    first = _first_parts(diffs, shared, often)
     # A list serves two far texts by their strong parts, or a far one and a near one's strong part.
-    lists = ranked.where("at <= weak").groupBy("pivot", "e").agg(
-        F.expr("min(label) filter (where far and at <= strong)").alias("low"),
-        F.expr("max(label) filter (where far and at <= strong)").alias("high"),
+    lists = first.groupBy("pivot", "e").agg(
+        F.expr("min(label) filter (where far and strong)").alias("low"),
+        F.expr("max(label) filter (where far and strong)").alias("high"),
         F.expr("bool_or(not far) and bool_or(far)").alias("crossed"),
     )
-    lists = lists.where("low < high or crossed").select("pivot", "e")
-    active = ranked.where("at <= weak").join(lists, ["pivot", "e"], "left_semi").select("pivot", "row").distinct()
-    parts = ranked.groupBy("pivot", "row").agg(F.collect_list("e").alias("diff")).join(active, ["pivot", "row"])
-    rows = saved(parts.join(diffs.drop("diff", "far", "strong", "weak"), ["pivot", "row"]).distinct(), "active")
+    lists = lists.where("low < high or crossed").select("pivot", "e", F.lit(False).alias("often"))
+    rows = saved(_active(diffs, shared, often, _bitmaps(saved(lists, "lists"))[0]), "active", rows=8 * most)
     share = F.greatest(F.ceil(F.count("*") / p.block), F.ceil(F.sum(F.size("diff")) / (p.block << 9))).cast("int")
     dealt = rows.join(rows.groupBy("pivot").agg(share.alias("blocks")), "pivot").withColumn("mine", F.expr("cast(pmod(xxhash64(row), blocks) as int)"))
     dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
@@ -329,6 +338,101 @@ def _differences(both: DataFrame, p: NearDup) -> DataFrame:
     return map_batches(both, make, "pivot long, row long, rep long, label long, n long, d long, far boolean, strong long, weak long, diff array<long>")
 
 
+#: Bits of a bitmap of elements: 32 for each of them, within these bounds.
+LEAST_BITS, MOST_BITS = 1 << 16, 1 << 25
+#: An element that more texts of a hub have than this is looked at last.
+OFTEN = 64
+
+
+def _places(pivot: np.ndarray, e: np.ndarray, bits: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (mix(pivot.view(np.uint64) ^ mix(e.view(np.uint64))) & np.uint64(bits - 1)).astype(np.int64)
+
+
+def _bitmaps(elements: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Flags of all ``pivot, e`` of a written table, and of those that are ``often``."""
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (32 * elements.count()).bit_length()))
+
+    def make():
+        def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            at = _places(batch.column("pivot").to_numpy(), batch.column("e").to_numpy(), bits)
+            often = batch.column("often").to_numpy(zero_copy_only=False)
+            for kind, places in ((0, at), (1, at[often])):
+                words = np.zeros(bits // 32, np.uint32)
+                np.bitwise_or.at(words, places >> 5, np.uint32(1) << (places & 31).astype(np.uint32))
+                some = np.flatnonzero(words)
+                yield pa.record_batch([pa.array(np.full(len(some), kind)), pa.array(some), pa.array(words[some].astype(np.int64))], ["kind", "word", "bits"])
+
+        return step
+
+    got = map_batches(elements, make, "kind long, word long, bits long").groupBy("kind", "word").agg(F.bit_or("bits").alias("bits")).toPandas()  # at most bits / 32 rows of each kind
+    out = []
+    for kind in (0, 1):
+        own, words = got[got["kind"] == kind], np.zeros(bits // 32, "<u4")
+        words[own["word"].to_numpy(np.int64)] = own["bits"].to_numpy(np.int64).astype(np.uint32)
+        out.append(words)
+    return out[0], out[1]
+
+
+def _flagged(words: np.ndarray, pivot: np.ndarray, e: np.ndarray) -> np.ndarray:
+    at = _places(pivot, e, 32 * len(words))
+    return (words[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1
+
+
+def _ordered(batch: pa.RecordBatch, shared: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, element and place (from 1) in its row's order of each shared element of D."""
+    lists = batch.column("diff")
+    offsets = lists.offsets.to_numpy()
+    e, sizes = lists.flatten().to_numpy(), np.diff(offsets)
+    row = np.repeat(np.arange(batch.num_rows), sizes)
+    pivot = batch.column("pivot").to_numpy()[row]
+    keep = _flagged(shared, pivot, e)
+    row, e, pivot = row[keep], e[keep], pivot[keep]
+    order = np.lexsort((mix(e.view(np.uint64)), _flagged(often, pivot, e), row))
+    row, e = row[order], e[order]
+    many = np.bincount(row, minlength=batch.num_rows)
+    begun = np.cumsum(many) - many
+    at = batch.column("d").to_numpy()[row] - many[row] + np.arange(len(row)) - begun[row] + 1
+    return row, e, at
+
+
+def _first_parts(diffs: DataFrame, shared: np.ndarray, often: np.ndarray) -> DataFrame:
+    """``pivot, e, label, far, strong``: the shared elements among the first of each D that count."""
+
+    def make():
+        def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            row, e, at = _ordered(batch, shared, often)
+            keep = at <= batch.column("weak").to_numpy()[row]
+            row, e, at = row[keep], e[keep], at[keep]
+            take = pa.array(row)
+            yield pa.record_batch([batch.column("pivot").take(take), pa.array(e), batch.column("label").take(take), batch.column("far").take(take), pa.array(at <= batch.column("strong").to_numpy()[row])], ["pivot", "e", "label", "far", "strong"])
+
+        return step
+
+    return map_batches(diffs, make, "pivot long, e long, label long, far boolean, strong boolean")
+
+
+def _active(diffs: DataFrame, shared: np.ndarray, often: np.ndarray, listed: np.ndarray) -> DataFrame:
+    """The texts with one of the listed elements among their first, with all their shared ones."""
+
+    def make():
+        def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            row, e, at = _ordered(batch, shared, often)
+            hit = (at <= batch.column("weak").to_numpy()[row]) & _flagged(listed, batch.column("pivot").to_numpy()[row], e)
+            active = np.zeros(batch.num_rows, bool)
+            active[row[hit]] = True
+            kept = np.flatnonzero(active)
+            mine = active[row]
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(row[mine], minlength=batch.num_rows)[kept])]).astype(np.int32)
+            diff = pa.ListArray.from_arrays(pa.array(offsets), pa.array(e[mine]))
+            names = ["pivot", "row", "rep", "label", "n", "d"]
+            yield pa.record_batch([*(batch.column(c).take(pa.array(kept)) for c in names), diff], [*names, "diff"])
+
+        return step
+
+    return map_batches(diffs, make, "pivot long, row long, rep long, label long, n long, d long, diff array<long>")
+
+
 def _compared(cell: pa.Table, percent: int) -> pa.Table:
     """Links between the two blocks of a cell, one for each two groups they join."""
     mine, rep, label, n, d = (cell.column(c).to_numpy() for c in ("mine", "rep", "label", "n", "d"))

@@ -109,3 +109,9 @@ def test_signatures():
     got = own.signature(values)
     assert all(got[b] == values[bins == b].min() for b in set(bins.tolist()))
     assert set(own.signature(values[:2]).tolist()) <= set(values[:2].tolist())
+
+
+def test_other_columns_may_have_any_names(spark):
+    rows = [(1, "a b c d e f", 1, 2), (2, "a b c d e f", 3, 4), (3, "another text of its own", 5, 6)]
+    kept = minhash.drop_copies(spark.createDataFrame(rows, "doc_id long, text string, kept_id int, _kept_hash int"))
+    assert sorted(tuple(r) for r in kept.collect()) == [rows[0], rows[2]]
