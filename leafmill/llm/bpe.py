@@ -312,6 +312,17 @@ def _room(old: np.ndarray, used: int, more: int) -> np.ndarray:
     return out
 
 
+def with_ends(ids: np.ndarray, first: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """``ids`` of documents that begin at ``first``, with an end id after each."""
+    n = np.arange(len(first) - 1)
+    out = np.empty(len(ids) + len(n), "<u4")
+    ends = first[1:] + n
+    plain = np.ones(len(out), bool)
+    plain[ends] = False
+    out[ends], out[plain] = end_id, ids
+    return out, first + np.append(n, len(n))
+
+
 def lowest_first(data: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Merge the pair of lowest rank, the leftmost of equals, until none is left."""
     if data in ranks:
@@ -417,6 +428,14 @@ def rank_encoder(path: str, pattern: str) -> tuple[CachedEncoder, RankVocabulary
     return _encoders[key]
 
 
+def rank_batches(path: str, pattern: str) -> tuple[BatchEncoder, RankVocabulary]:
+    """As ``rank_encoder``, for whole columns."""
+    if (key := ("rank batches", path, pattern)) not in _encoders:
+        encoder, vocabulary = rank_encoder(path, pattern)
+        _encoders[key] = BatchEncoder(encoder), vocabulary
+    return _encoders[key]
+
+
 def file_batches(path: str, spaces: bool) -> BatchEncoder:
     """As ``file_encoder``, for whole columns."""
     if (key := ("batches", path, spaces)) not in _encoders:
@@ -526,19 +545,19 @@ def round_trip(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", t
     """
 
     def make():
-        encoder, vocabulary = rank_encoder(path, pattern)
+        encoder, vocabulary = rank_batches(path, pattern)
 
         def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             for part in slices(batch, "text"):
-                counts, ids_sha, decoded_sha, sizes = [], [], [], []
-                for text in part.column("text"):
-                    ids = encoder.encode(text.as_py())
-                    data = decode(ids, vocabulary.table)
-                    counts.append(len(ids) // 4)
-                    ids_sha.append(hashlib.sha256(ids).hexdigest())
-                    decoded_sha.append(hashlib.sha256(data).hexdigest())
-                    sizes.append(len(data))
-                yield pa.record_batch([part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids_sha), pa.array(decoded_sha), pa.array(sizes, pa.int64())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes"])
+                ids, first = encoder.encode(part.column("text"))
+                data = memoryview(ids.tobytes())
+                ids_sha, decoded_sha, sizes = [], [], []
+                for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+                    decoded = decode(ids[a:b], vocabulary.table)
+                    ids_sha.append(hashlib.sha256(data[4 * a : 4 * b]).hexdigest())
+                    decoded_sha.append(hashlib.sha256(decoded).hexdigest())
+                    sizes.append(len(decoded))
+                yield pa.record_batch([part.column("doc_id"), pa.array(np.diff(first)), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string()), pa.array(sizes, pa.int64())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes"])
 
         return step
 

@@ -104,17 +104,6 @@ _SPLIT = f"kind string, spread long, {_RECIPE}, {_CHUNK}"
 _COLUMNS = [f.split()[0] for f in _SPLIT.split(", ")]
 
 
-def with_ends(ids: np.ndarray, first: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-    """``ids`` of documents that begin at ``first``, with an end id after each."""
-    n = np.arange(len(first) - 1)
-    out = np.empty(len(ids) + len(n), "<u4")
-    ends = first[1:] + n
-    plain = np.ones(len(out), bool)
-    plain[ends] = False
-    out[ends], out[plain] = end_id, ids
-    return out, first + np.append(n, len(n))
-
-
 def _split(docs: DataFrame, path: str, end_id: int, vocabulary: int) -> DataFrame:
     """Recipes, and among them the chunks that a task meets for the first time.
 
@@ -130,7 +119,7 @@ def _split(docs: DataFrame, path: str, end_id: int, vocabulary: int) -> DataFram
         def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             nonlocal count
             for part in slices(batch, "text"):
-                ids, first = with_ends(*encoder.encode(part.column("text")), end_id)
+                ids, first = bpe.with_ends(*encoder.encode(part.column("text")), end_id)
                 data, size = memoryview(ids.astype(width).tobytes()), np.dtype(width).itemsize
                 recipes, fresh, payloads = [], [], []
                 for start, ends in zip(first.tolist(), cuts(ids, first, vocabulary), strict=False):

@@ -65,6 +65,20 @@ def test_caches_change_nothing(public, text):
     assert bpe.decode(ids, vocabulary.table) == text.encode()
 
 
+@settings(max_examples=300, deadline=None)
+@given(AWKWARD)
+def test_whole_columns_agree_with_tiktoken(public, text):
+    for own in (bpe.rank_batches(RANKS, P.PATTERN)[0], small_ranks()):
+        ids, first = own.encode(pa.array([text, None, text + " " + text]))
+        assert ids[: first[1]].tolist() == public.encode_ordinary(text) and first[1] == first[2]
+        assert ids[first[2] :].tolist() == public.encode_ordinary(text + " " + text)
+
+
+@cache
+def small_ranks():
+    return bpe.BatchEncoder(bpe.rank_encoder(RANKS, P.PATTERN)[0], 1)
+
+
 @settings(max_examples=300, deadline=None)
 @given(AWKWARD)
 def test_files_agree_with_the_library(text):
