@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.llm import bpe
-from leafmill.llm.common import map_batches, saved, slices
+from leafmill.llm.common import map_batches, saved, slices, unused
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -35,25 +35,24 @@ def pieces(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, id
 
     ``with_ids`` adds the ids, as little-endian unsigned 32-bit integers.
     """
-    end = np.array([end_id], "<u4").tobytes()
-
     def make():
-        encoder = bpe.file_encoder(path, True)
+        encoder = bpe.file_batches(path, True)
 
         def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             for part in slices(batch, "text"):
                 row, number, start, length, crc, own = [], [], [], [], [], []
-                for i, text in enumerate(part.column("text").to_pylist()):
-                    ids = encoder.encode(text) + end
-                    for k, (s, n) in enumerate(cut(len(ids) // 4, capacity)):
-                        chunk = ids[4 * s : 4 * (s + n)]
+                ids, first = bpe.with_ends(*encoder.encode(part.column("text")), end_id)
+                data, first = memoryview(ids.tobytes()), first.tolist()
+                for i, (a, b) in enumerate(zip(first[:-1], first[1:], strict=True)):
+                    for k, (s, n) in enumerate(cut(b - a, capacity)):
+                        chunk = data[4 * (a + s) : 4 * (a + s + n)]
                         row.append(i)
                         number.append(k)
                         start.append(s)
                         length.append(n)
                         crc.append(zlib.crc32(chunk))
                         if with_ids:
-                            own.append(chunk)
+                            own.append(bytes(chunk))
                 columns = [part.column("doc_id").take(pa.array(row, pa.int32())), pa.array(number, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
                 names = ["doc_id", "piece", "start", "length", "ids_crc32"]
                 yield pa.record_batch([*columns, pa.array(own, pa.binary())] if with_ids else columns, [*names, "ids"] if with_ids else names)
@@ -144,24 +143,28 @@ def pack(parts: DataFrame, capacity: int = 1024, group: int = 200_000) -> DataFr
     """``parts`` with ``sequence_id`` and ``offset``; it needs ``length``, ``doc_id``, ``piece``.
 
     Ranks among equal lengths are counted in salted groups of about ``group``
-    rows at most, so a length that most pieces have is no single task's.
+    rows at most, so a length that most pieces have is no single task's, nor
+    are rows that repeat.  Pieces of one length are alike, so which of them
+    comes first is left to their place in the written table.
     """
     parts = saved(parts, "pieces")
     counted = parts.groupBy("length").agg(F.count("*").alias("n")).toPandas()
     counts = dict(zip(counted["length"].tolist(), counted["n"].tolist(), strict=True))
     places = Places(plan(counts, capacity), capacity)
-    salts = max(64, -(-max(counts.values(), default=0) // group))
-    salted = parts.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
-    sizes = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
-    before = sizes.select("length", "salt", (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))
-    order = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = salted.withColumn("rank", F.row_number().over(order)).join(before, ["length", "salt"])
     names = parts.columns
-    ranked = ranked.select(*names, (F.col("before") + F.col("rank") - 1).cast("long").alias("rank"))
+    salt, rank, before, tie = unused(names, "salt", "rank", "before", "tie")
+    salts = max(64, -(-max(counts.values(), default=0) // group))
+    salted = parts.withColumn(tie, F.monotonically_increasing_id())  # a written table: the same at every reading
+    salted = salted.withColumn(salt, F.pmod(F.xxhash64(tie), F.lit(salts)))
+    sizes = salted.groupBy("length", salt).agg(F.count("*").alias("n"))
+    upto = sizes.select("length", salt, (F.sum("n").over(Window.partitionBy("length").orderBy(salt)) - F.col("n")).alias(before))
+    order = Window.partitionBy("length", salt).orderBy(tie)
+    ranked = salted.withColumn(rank, F.row_number().over(order)).join(upto, ["length", salt])
+    ranked = ranked.select(*names, (F.col(before) + F.col(rank) - 1).cast("long").alias(rank))
 
     def make():
         def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            sequence, offset = places.find(batch.column("length").to_numpy(), batch.column("rank").to_numpy())
+            sequence, offset = places.find(batch.column("length").to_numpy(), batch.column(rank).to_numpy())
             yield pa.record_batch([*(batch.column(c) for c in names), pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
         return step
@@ -173,7 +176,8 @@ def pack(parts: DataFrame, capacity: int = 1024, group: int = 200_000) -> DataFr
 def pack_documents(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Each document's pieces with the sequence and the place of each.
 
-    A null or empty text is its end id alone.  Rows that repeat an id and text
+    A null or empty text is its end id alone; a longer one than ``capacity`` is
+    cut, whatever its length.  Rows that repeat an id and text
     are packed as often as they come; a null id stays null; no rows give no
     rows; other columns are not looked at.
     """

@@ -82,3 +82,11 @@ def test_partitions_change_nothing(documents):
     a = packing.pack_documents(documents.repartition(1), PATH)
     b = packing.pack_documents(documents.repartition(7), PATH)
     assert sorted(a.collect()) == sorted(b.collect())
+
+
+def test_other_columns_may_have_any_names(spark):
+    rows = [(1, 0, 5, 10, 9, 1, 2, 3, 4)] * 40 + [(2, 0, 6, 10, 8, 1, 2, 3, 4)]
+    parts = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long, salt int, rank int, before int, tie int")
+    got = packing.pack(parts, 32).collect()
+    assert len(got) == 41 and got[0].rank == 2
+    assert sound(got, 32) == 14
