@@ -154,8 +154,9 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     """``doc_id, n_tokens, n_unknown, score`` of each whole text.
 
     ``n_unknown`` counts the bytes of unknown characters, each a token.  A null
-    or empty text has no tokens and the score 0.  Equal texts get equal rows;
-    a null id stays null; other columns are not looked at.
+    or empty text has no tokens and the score 0; a text of any length is counted
+    whole.  Equal texts get equal rows; a null id stays null; no rows give no
+    rows; other columns are not looked at.
     """
 
     def make():

@@ -201,8 +201,9 @@ SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_line
 def score_documents(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The counts and the verdict of each row; other columns are not looked at.
 
-    A null or empty text has no words and fails the base rules.  Equal texts
-    get equal rows, and a null id stays null.
+    A null or empty text has no words and fails the base rules; a text of any
+    length is counted whole.  Equal texts get equal rows, a null id stays null,
+    no rows give no rows.
     """
 
     def make():
@@ -219,7 +220,11 @@ def score_documents(docs: DataFrame, model: QualityModel, id_col: str = "doc_id"
 
 
 def keep_good(docs: DataFrame, model: QualityModel, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns as they are, that the rules keep."""
+    """The rows of ``docs``, all columns as they are, that the rules keep.
+
+    A null or empty text has no words, so it goes; repeated rows stay or go
+    together.
+    """
 
     def make():
         def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

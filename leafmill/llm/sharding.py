@@ -96,7 +96,8 @@ def shard_documents(docs: DataFrame, shards: int = 16, nodes: int = 128, slack:
     shard.  A null text has no bytes.  A row without an id lies at the hash of
     its text; rows that repeat an id lie in one cell, in the order of their
     size and crc.  ``grown_shard`` is null: under this law a row's shard depends
-    on the other rows as well.  Other columns are not looked at.
+    on the other rows as well.  No rows give no rows; other columns are not
+    looked at.
     """
     spark = docs.sparkSession
     ring = Ring(shards, nodes)

@@ -110,7 +110,11 @@ def fit(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grades: np.ndarr
 def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000, picked: int = 500, good_loss: float = 0.002) -> ToxicityModel:
     """Fit on at most ``sample`` labelled rows, the first by a hash of doc_id.
 
-    Equal texts count once.  A feature is picked when, even at the lower end of
+    Labels without an id are left out, and of labels that repeat an id the
+    toxic one counts; of rows that repeat an id the least by a hash of its text
+    takes part, whole.  Equal texts count once.  The sample is put in order
+    before anything is fitted, so equal tables give equal models.  Without rows
+    of either kind nothing is toxic.  A feature is picked when, even at the lower end of
     what its counts allow, about half of the texts that have it are toxic; of
     those, the ``picked`` that most toxic texts have.  The threshold on
     P(grade > 0) is a half, or less where that calls at most ``good_loss`` of the
@@ -120,7 +124,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000, picked: int
     ids = labels.where("toxic is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     ids = ids.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(order, "doc_id").limit(sample)
     mine = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id")
-    mine = saved(mine.where("text is not null").groupBy(F.sha2("text", 256).alias("sha")).agg(F.max("toxic").alias("toxic"), F.first("text").alias("text")).drop("sha").limit(sample).repartition(TASKS), "toxic-sample")
+    mine = mine.where("text is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("r"))
+    mine = mine.groupBy(F.sha2("r.text", 256).alias("sha")).agg(F.max("toxic").alias("toxic"), F.first("r.text").alias("text"))
+    mine = saved(mine.repartition(TASKS), "toxic-sample")
 
     def distinct():
         def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -144,11 +150,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000, picked: int
                 row, which, many, n = counts(part.column("text"), picker)
                 at = np.searchsorted(row, np.arange(part.num_rows + 1))
                 lists = [(which[a:b], many[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
-                yield pa.record_batch([part.column("toxic"), pa.array(n.astype(np.int64)), pa.array([x for x, _ in lists], pa.list_(pa.int64())), pa.array([y for _, y in lists], pa.list_(pa.int64()))], ["toxic", "n", "which", "many"])
+                yield pa.record_batch([part.column("sha"), part.column("toxic"), pa.array(n.astype(np.int64)), pa.array([x for x, _ in lists], pa.list_(pa.int64())), pa.array([y for _, y in lists], pa.list_(pa.int64()))], ["sha", "toxic", "n", "which", "many"])
 
         return step
 
-    got = map_batches(mine.select("text", "toxic"), hits, "toxic int, n long, which array<long>, many array<long>").toPandas()
+    got = map_batches(mine.select("sha", "text", "toxic"), hits, "sha string, toxic int, n long, which array<long>, many array<long>").toPandas().sort_values("sha", ignore_index=True)
     toxic = got["toxic"].to_numpy() == 1 if len(got) else np.zeros(0, bool)
     if not toxic.any() or toxic.all() or not len(picker.picked):
         return ToxicityModel(picker, np.zeros(len(picker.picked)), np.array([40.0, 41.0, 42.0]), 1.0)
@@ -171,7 +177,9 @@ def grade_documents(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id
     """``severity`` (expected grade, 0 to 3), the likeliest ``grade``, the verdict.
 
     A null or empty text has no features and gets what a text of unknown words
-    gets.  Equal texts get equal rows; other columns are not looked at.
+    gets; a text of any length is read whole.  Equal texts get equal rows, a
+    null id stays null, of grades that tie the lowest is the likeliest, no rows
+    give no rows; other columns are not looked at.
     """
 
     def make():
@@ -188,7 +196,11 @@ def grade_documents(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id
 
 
 def keep_civil(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns as they are, that are not toxic."""
+    """The rows of ``docs``, all columns as they are, that are not toxic.
+
+    A null or empty text has no features; by a model with positive cuts it
+    stays.  Repeated rows stay or go together.
+    """
 
     def make():
         def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

@@ -64,3 +64,18 @@ def test_counts_do_not_depend_on_the_batch():
     whole, _ = quality.measure(pa.array(texts))
     single = np.concatenate([quality.measure(pa.array([t], pa.string()))[0] for t in texts])
     assert (whole == single).all()
+
+
+def test_path_lengths_against_a_walk_down_each_tree():
+    rng = np.random.default_rng(2)
+    forest = quality.IsolationForest(rng.random((60, 4)), trees=7, sample=32)
+    rows = rng.random((25, 4))
+
+    def path(t, row):
+        node = 0
+        while forest.feature[t, node] >= 0:
+            node = 2 * node + 1 + (row[forest.feature[t, node]] >= forest.split[t, node])
+        return forest.length[t, node]
+
+    want = [2 ** -(np.mean([path(t, r) for t in range(7)]) / forest.usual(32)) for r in rows]
+    assert np.allclose(forest.score(rows), want)

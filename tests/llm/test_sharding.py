@@ -75,3 +75,17 @@ def test_slack_limits_movement():
     a, b = shards(16), shards(17)
     moved = sum(a[k] != b[k] for k in a) / len(a)
     assert moved < 0.15
+
+
+def test_movement_without_slack():
+    """Equal counts cost movement: half as many rows again as the 1/17 that a new shard must take."""
+    rng = np.random.default_rng(6)
+    at, n = np.unique(rng.integers(0, sharding.CELLS, 20_000), return_counts=True)
+
+    def shards(k):
+        s = sharding.assign(sharding.Ring(k), at, n, sharding.capacities(20_000, k))
+        return {(c, r): shard for c, low, high, shard in zip(s.cell, s.low, s.high, s["shard"], strict=True) for r in range(low, high)}
+
+    a, b = shards(16), shards(17)
+    moved = sum(a[k] != b[k] for k in a) / len(a)
+    assert 1 / 17 - 0.001 < moved < 0.11

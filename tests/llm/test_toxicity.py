@@ -52,3 +52,20 @@ def test_words_and_beginnings(spark):
     model = toxicity.train(docs, labels)
     grades = model.grades(pa.array(["such VILELY here", "plain words here", None]))
     assert grades[0, 0] > model.threshold >= max(grades[1, 0], grades[2, 0])
+
+
+def test_grades_against_one_text_at_a_time():
+    import re
+
+    words = pa.array(["Bad words, bad apples", "badly done", None, "nothing here"])
+    kinds, owner, _ = toxicity.features(words)
+    whole = {w: int(h) for w, h in zip(re.findall("[A-Za-z']+", "Bad words, bad apples"), kinds[0][owner == 0], strict=True)}
+    assert whole["Bad"] == whole["bad"]
+    picked = np.array([whole["bad"], whole["words"]], np.uint64)
+    picker = toxicity.Picker(picked)
+    weights = np.array([2.0, -0.5])
+    model = toxicity.ToxicityModel(picker, weights, np.array([0.5, 1.0, 2.0]), 0.5)
+    order = {int(h): k for k, h in enumerate(picker.picked)}
+    score = weights[order[whole["bad"]]] * np.log1p(2) + weights[order[whole["words"]]] * np.log1p(1)
+    want = [[1 / (1 + np.exp(-(s - c))) for c in (0.5, 1.0, 2.0)] for s in (score, 0.0, 0.0, 0.0)]
+    assert np.allclose(model.grades(words), want)
