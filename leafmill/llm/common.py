@@ -145,21 +145,18 @@ def first_ids(rows: DataFrame, seed: int, most: int) -> DataFrame:
     whatever the input.
     """
 
-    def make():
-        held = pa.table({"place": pa.array([], pa.int64()), "doc_id": pa.array([], pa.int64())})
+    names = ["place", "doc_id"]
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            nonlocal held
-            for batch in batches:
-                both = pa.concat_tables([held, pa.Table.from_batches([batch])])
-                held = both.group_by(["place", "doc_id"]).aggregate([]).sort_by([("place", "ascending"), ("doc_id", "ascending")]).slice(0, most).select(["place", "doc_id"])
-            yield from held.to_batches()
-
-        return run
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = pa.table({n: pa.array([], pa.int64()) for n in names})
+        for batch in batches:
+            both = pa.concat_tables([held, pa.table({n: batch.column(n) for n in names})])
+            held = both.group_by(names).aggregate([]).sort_by([(n, "ascending") for n in names]).slice(0, most).select(names)
+        yield from held.to_batches()
 
     workers_see_us(rows.sparkSession)
     keyed = rows.where("doc_id is not null").select(F.xxhash64("doc_id", F.lit(seed)).alias("place"), "doc_id")
-    few = keyed.mapInArrow(lambda batches: make()(batches), "place long, doc_id long")
+    few = keyed.mapInArrow(run, "place long, doc_id long")
     return few.distinct().orderBy("place", "doc_id").limit(most).select("doc_id")
 
 

@@ -9,7 +9,6 @@ scores are the means of its windows' scores, weighted by their bytes.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -18,11 +17,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import map_batches, slices
+from leafmill.llm.common import first_ids, map_batches, slices
 from leafmill.llm.words import text_bytes
 
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 @dataclass(frozen=True)
@@ -159,32 +157,34 @@ def fold(id_col: str = "doc_id") -> Column:
     return F.crc32(F.encode(F.col(id_col).cast("string"), "utf-8")) % 4
 
 
-def train(docs: DataFrame, shape: Shape = Shape(), held_out: int = 2, sample: int = 3_000, each: int = 6, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> ByteNet | None:
-    """Fit on at most ``sample`` documents, the first by a hash of their id.
+def has_letter(text: str | None) -> bool:
+    """Whether a character of ``text`` is a letter; numerals such as U+00BD and U+2167 are none."""
+    return bool(text) and any(map(str.isalpha, text))
 
-    Only rows with a language and outside the held-out fold take part, with at
-    most ``each`` windows spread over the text.  None if there is no such row.
+
+def train(docs: DataFrame, shape: Shape = Shape(), held_out: int = 2, sample: int = 2_000, longest: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> ByteNet | None:
+    """Fit on a bounded sample: at most ``sample`` labelled rows of at most ``longest`` bytes.
+
+    The rows are the first by a hash of their id; each is read whole.  Only rows
+    with an id, a text and a language outside the held-out fold take part.  Of
+    rows that repeat an id one takes part, the least by a hash of its text, and
+    of ties by its language.  None if there is no such row, as in an empty table.
     """
     mine = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    mine = mine.where(F.col("lang").isNotNull() & (fold("doc_id") != held_out))
-    order = F.xxhash64(F.col("doc_id"), F.lit(4))
-    ids = mine.where(F.octet_length("text") > 0).select("doc_id").distinct().orderBy(order, "doc_id").limit(sample)
+    mine = mine.where(F.col("lang").isNotNull() & (fold("doc_id") != held_out) & F.octet_length("text").between(1, longest))
+    ids = F.broadcast(first_ids(mine, 4, sample))  # at most ``sample`` ids
 
     def make():
         def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             for part in slices(batch, "text"):
                 windows, owner, _ = windows_of(part.column("text"), shape)
-                count = np.bincount(owner, minlength=part.num_rows)
-                rank = np.arange(len(owner)) - (np.cumsum(count) - count)[owner]
-                n = count[owner]
-                keep = (n <= each) | ((rank + 1) * each // n > rank * each // n)
-                rows = pa.array(owner[keep])
-                yield pa.record_batch([part.column("doc_id").take(rows), part.column("lang").take(rows), pa.array(rank[keep]), pa.array([w.tobytes() for w in windows[keep]], pa.binary())], ["doc_id", "lang", "place", "bytes"])
+                rows = pa.array(owner)
+                yield pa.record_batch([part.column("doc_id").take(rows), part.column("lang").take(rows), pa.array(np.arange(len(owner))), pa.array([w.tobytes() for w in windows], pa.binary())], ["doc_id", "lang", "place", "bytes"])
 
         return step
 
-    some = mine.join(F.broadcast(ids), "doc_id").select("doc_id", "lang", "text")
-    got = map_batches(some, make, "doc_id long, lang string, place long, bytes binary").orderBy("doc_id", "place", "lang", "bytes").limit(sample * each).toPandas()
+    one = mine.join(ids, "doc_id").groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "lang", "text")).alias("r")).select("doc_id", "r.lang", "r.text")
+    got = map_batches(one, make, "doc_id long, lang string, place long, bytes binary").toPandas().sort_values(["doc_id", "place"])
     if not len(got):
         return None
     langs = sorted(got["lang"].unique())
@@ -198,14 +198,16 @@ def predict(docs: DataFrame, net: ByteNet | None, held_out: int = 2, id_col: str
 
     ``score`` is the language's probability.  A text that is null or has no
     letter is ``und`` with the score 0, as is every text where nothing could be
-    learned.  A null id is not held out.  Only the text is looked at.
+    learned.  A null id is not held out.  Only the text is looked at, whole and
+    at any length, in windows; of languages that tie the first by name is taken.
+    Repeated rows get equal rows; no rows give no rows.
     """
 
     def make():
         def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             for part in slices(batch, "text", 1 << 20):
                 n = part.num_rows
-                letters = np.array([bool(t and _LETTER.search(t)) for t in part.column("text").to_pylist()])
+                letters = np.array([has_letter(t) for t in part.column("text").to_pylist()])
                 names, score = np.full(n, UNKNOWN, object), np.zeros(n)
                 if net is not None and letters.any():
                     windows, owner, real = windows_of(part.column("text"), net.shape)

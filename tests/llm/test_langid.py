@@ -71,3 +71,39 @@ def test_gradients_are_the_slopes():
             down = loss()
             values[at] = was
             assert abs((up - down) / 2e-5 - grads[k][at]) < 1e-3
+
+
+def test_letters():
+    assert not any(map(langid.has_letter, (None, "", "100", "½ 100 ²", "Ⅷ _", "—\n\t!")))
+    assert all(map(langid.has_letter, ("½ x", "é", "日", "Ω.")))
+
+
+def brute_scores(net, text):
+    """Mean over windows, weighted by their bytes, one window and one filter at a time."""
+    data, shape = text.encode(), net.shape
+    total, at = np.zeros(len(net.langs)), 0
+    while at == 0 or at + shape.widest - 1 < len(data):
+        window = (data[at : at + shape.window] + b" " * shape.window)[: shape.window]
+        x = net.embed[np.frombuffer(window, np.uint8)]
+        top = [max(float((x[k : k + shape.widest].ravel() * net.conv[:, f]).sum()) for k in range(shape.window - shape.widest + 1)) for f in range(shape.size)]
+        total += (np.maximum(np.array(top) + net.bias, 0) @ net.out + net.out_bias) * min(shape.window, len(data) - at)
+        at += shape.stride
+    return total
+
+
+def test_predictions_against_one_window_at_a_time(spark):
+    net = ByteNet.fresh(Shape(window=24, embed=3, widths=(2, 3), filters=3), ["a", "b", "c"])
+    texts = ["short", "a somewhat longer text, of two or three windows and a rest", "é" * 40, "x" * 24, "y" * 25]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.lang_pred for r in langid.predict(rows, net).collect()}
+    assert got == {k: net.langs[int(brute_scores(net, t).argmax())] for k, t in enumerate(texts)}
+
+
+def test_training_rows_are_bounded_whole_and_repeatable(spark):
+    rows = [(i % 50, f"{'ein' if i % 2 else 'one'} text {i // 50} " * 40, "de" if i % 2 else "en") for i in range(200)] + [(7, "y" * 300, "xx"), (None, "no id", "zz")]
+    nets = []
+    for parts in (3, 7):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(parts)
+        nets.append(langid.train(docs, Shape(window=32, filters=4), sample=20, longest=5_000))
+    assert nets[0].langs == nets[1].langs and "zz" not in nets[0].langs
+    assert all((getattr(nets[0], k) == getattr(nets[1], k)).all() for k in nets[0].order)
