@@ -238,8 +238,8 @@ ORACLE_SQL: dict[str, str] = {
     "table_chains": """with t as (select doc_id, p as id, case when p % 7 = 6 then 70 else 50 end as x0, p // 4 as number, p % 4 <> 0 as goes, case when p = 2 then 'A|B' else 'a|b' end as h from (select doc_id, least(coalesce(length(text), 0) // 200, 12) as m from documents), unnest(range(0, m + 1)) u(p)),
       l as (select *, coalesce(goes and number = lag(number) over o and abs(x0 - lag(x0) over o) <= 8 and h = lag(h) over o, false) as linked from t window o as (partition by doc_id order by id))
       select doc_id, id::int as table_id, max(case when not linked then id end) over (partition by doc_id order by id)::int as root from l""",
-    "table_pages": """with k as (select l_orderkey as table_id, l_linenumber, '<tr>' || chr(10) || '<td rowspan="1" colspan="1">' || l_partkey || '</td>' || chr(10) || '<td rowspan="1" colspan="1">' || l_returnflag || ' &amp; co</td>' || chr(10) || '</tr>' as row from lineitem qualify row_number() over (partition by l_orderkey order by l_linenumber, l_partkey) <= 2)
-      select table_id, '<table>' || chr(10) || '<tr>' || chr(10) || '<th rowspan="1" colspan="2">Items &lt;2&gt;</th>' || chr(10) || '</tr>' || chr(10) || string_agg(row, chr(10) order by l_linenumber) || chr(10) || '</table>' as html from k group by table_id""",
+    "table_pages": """with k as (select l_orderkey as table_id, l_linenumber, l_partkey, l_returnflag, '<tr>' || chr(10) || '<td rowspan="1" colspan="1">' || l_partkey || '</td>' || chr(10) || '<td rowspan="1" colspan="1">' || l_returnflag || ' &amp; co</td>' || chr(10) || '</tr>' as row from lineitem qualify row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_returnflag) <= 2)
+      select table_id, '<table>' || chr(10) || '<tr>' || chr(10) || '<th rowspan="1" colspan="2">Items &lt;2&gt;</th>' || chr(10) || '</tr>' || chr(10) || string_agg(row, chr(10) order by l_linenumber, l_partkey, l_returnflag) || chr(10) || '</table>' as html from k group by table_id""",
     "covered_pages": """select doc_id, round(count(*) filter (where p >= 7) / count(*), 6) as share from (select doc_id, least(coalesce(length(text), 0) // 500, 9) as m from documents), unnest(range(0, m + 1)) u(p) group by doc_id""",
     "numbered_titles": f"""with {_LINES}, r as (select doc_id, seq, case when seq % 6 = 0 then (seq // 6 + 1) || '.2' else text end as t, seq % 4 = 1 as bold from lines where seq < 60),
       n as (select *, lead(t) over o as nt, lead(bold) over o as nb, lead(seq) over o as ns from r window o as (partition by doc_id order by seq))

@@ -574,7 +574,7 @@ def table_chains(docs):
 @query("lineitem")
 def table_pages(items):
     """Each order's first items as an HTML table, the header a cell over two columns."""
-    kept = batch.first_of_each(items, "l_orderkey", [F.col("l_linenumber"), F.col("l_partkey")], 2)
+    kept = batch.first_of_each(items, "l_orderkey", [F.col("l_linenumber"), F.col("l_partkey"), F.col("l_returnflag")], 2)
     cell = lambda c, span: F.struct(c.cast("string").alias("text"), F.lit(1).alias("rowspan"), F.lit(span).alias("colspan"))
     rows = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", F.array(cell(F.col("l_partkey"), 1), cell(F.concat(F.col("l_returnflag"), F.lit(" & co")), 1)).alias("cells")))), lambda r: r["cells"])
     made = kept.groupBy(F.col("l_orderkey").alias("table_id")).agg(F.concat(F.array(F.array(cell(F.lit("Items <2>"), 2))), rows).alias("grid"))
