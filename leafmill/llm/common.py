@@ -89,6 +89,20 @@ def workers_see_us(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, have) if x)
 
 
+#: Spark's bound of a record batch, and ours: a batch of texts or sets is held several times, off the heap and in Python.
+BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the record batches by BATCH_BYTES, in a session that names no bound of its own.
+
+    A longer row is a batch of its own.  Spark looks when a query runs, so the
+    bound stays set.
+    """
+    if BATCH_KEY not in spark.conf.getAll:
+        spark.conf.set(BATCH_KEY, BATCH_BYTES)
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]], schema: str) -> DataFrame:
     """``mapInArrow`` with a function that each task makes once.
 
@@ -96,6 +110,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Ite
     record batches.
     """
     workers_see_us(df.sparkSession)
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = None
