@@ -43,8 +43,7 @@ def op7_unigram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return quality.score_documents(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+    return quality.learn_and_judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from leafmill.llm import entry, quality
 
@@ -79,3 +80,46 @@ def test_path_lengths_against_a_walk_down_each_tree():
 
     want = [2 ** -(np.mean([path(t, r) for t in range(7)]) / forest.usual(32)) for r in rows]
     assert np.allclose(forest.score(rows), want)
+
+
+def test_every_labelled_row_takes_part(spark):
+    ids = spark.range(12_600).withColumnRenamed("id", "doc_id")
+    last = {r.doc_id for r in ids.orderBy(F.xxhash64("doc_id", F.lit(8)).desc()).limit(300).collect()}
+    usual, junk = "some plain words that a good text of any kind may hold {}", "# $ % & < > | * # $ % & X{}"
+    docs = spark.createDataFrame([(i, (junk if i in last else usual).format(i)) for i in range(12_600)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i not in last)) for i in range(12_600)], "doc_id long, quality int")
+    kept = {r.doc_id: r.kept for r in quality.score_documents(docs, quality.train(docs, labels)).collect()}
+    assert {i for i, k in kept.items() if not k} == last
+
+
+def test_model_against_all_rows_at_once(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    rows = docs.join(labels.select("doc_id", "quality"), "doc_id").select("text", "quality").toArrow().combine_chunks()
+    base, features = quality.measure(rows.column("text").combine_chunks())
+    ok, bad = ~quality.base_failed(base), rows.column("quality").to_numpy() == 0
+    features, bad = features[ok], bad[ok]
+    forest = quality.IsolationForest(features[~bad])
+    for parts in (1, 5):
+        model = quality.train(docs.repartition(parts), labels.repartition(parts))
+        assert (model.forest.feature == forest.feature).all() and (model.forest.length == forest.length).all()
+        assert model.threshold == quality.calibrate(forest.score(features), bad, 0.001)
+
+
+def test_threshold_of_a_table(spark):
+    rng = np.random.default_rng(5)
+    for n, loss in ((1, 0.001), (40, 0.1), (3000, 0.01), (3000, 0.0)):
+        scores = np.round(rng.random(n + 30), 2 if n == 40 else 9)
+        bad = np.arange(n + 30) >= n
+        table = spark.createDataFrame([(int(s), bool(b)) for s, b in zip(scores.view(np.int64), bad, strict=True)], "bits long, bad boolean")
+        assert quality.calibrate_table(table, n, loss) == quality.calibrate(scores, bad, loss)
+
+
+def test_parts_hold_every_row():
+    rows = np.random.default_rng(3).random((900, 4))
+    forest = quality.IsolationForest.planted(900, 4, trees=5)
+    leaves = forest.leaves(rows[:500]) + forest.leaves(rows[500:])
+    assert (leaves.sum(axis=1) == 900).all()
+    forest.fill(leaves)
+    whole = quality.IsolationForest(rows, trees=5)
+    assert (forest.length == whole.length).all() and (forest.feature == whole.feature).all()
