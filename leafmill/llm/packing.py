@@ -143,24 +143,31 @@ def pack(parts: DataFrame, capacity: int = 1024, group: int = 200_000) -> DataFr
     """``parts`` with ``sequence_id`` and ``offset``; it needs ``length``, ``doc_id``, ``piece``.
 
     Ranks among equal lengths are counted in salted groups of about ``group``
-    rows at most, so a length that most pieces have is no single task's, nor
-    are rows that repeat.  Pieces of one length are alike, so which of them
-    comes first is left to their place in the written table.
+    rows at most, so a length that most pieces have is no single task's.  The
+    order within them is that of all columns, so a piece's place hangs on what
+    the table holds and not on where; rows that repeat are one row with its
+    number of copies until the ranks are known, and then dealt out.
     """
-    parts = saved(parts, "pieces")
-    counted = parts.groupBy("length").agg(F.count("*").alias("n")).toPandas()
+    names = parts.columns
+    salt, rank, before, copies, copy = unused(names, "salt", "rank", "before", "copies", "copy")
+    parts = saved(parts.groupBy(*names).agg(F.count("*").alias(copies)), "pieces")
+    counted = parts.groupBy("length").agg(F.sum(copies).alias("n"), F.max(copies).alias("most")).toPandas()
     counts = dict(zip(counted["length"].tolist(), counted["n"].tolist(), strict=True))
+    most = max(counted["most"].tolist(), default=0)
     places = Places(plan(counts, capacity), capacity)
-    names = parts.columns
-    salt, rank, before, tie = unused(names, "salt", "rank", "before", "tie")
     salts = max(64, -(-max(counts.values(), default=0) // group))
-    salted = parts.withColumn(tie, F.monotonically_increasing_id())  # a written table: the same at every reading
-    salted = salted.withColumn(salt, F.pmod(F.xxhash64(tie), F.lit(salts)))
-    sizes = salted.groupBy("length", salt).agg(F.count("*").alias("n"))
+    salted = parts.withColumn(salt, F.pmod(F.xxhash64(*names), F.lit(salts)))
+    sizes = salted.groupBy("length", salt).agg(F.sum(copies).alias("n"))
     upto = sizes.select("length", salt, (F.sum("n").over(Window.partitionBy("length").orderBy(salt)) - F.col("n")).alias(before))
-    order = Window.partitionBy("length", salt).orderBy(tie)
-    ranked = salted.withColumn(rank, F.row_number().over(order)).join(upto, ["length", salt])
-    ranked = ranked.select(*names, (F.col(before) + F.col(rank) - 1).cast("long").alias(rank))
+    order = Window.partitionBy("length", salt).orderBy(*names).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = salted.withColumn(rank, F.sum(copies).over(order) - F.col(copies)).join(upto, ["length", salt])
+    ranked = ranked.select(*names, (F.col(before) + F.col(rank)).cast("long").alias(rank), copies)
+    if most > group:
+        ranked = ranked.withColumn(copy, F.explode(F.sequence(F.lit(0), F.col(copies) - 1, F.lit(group))))
+        ranked = ranked.repartition(rank, copy).select(*names, (F.col(rank) + F.col(copy)).alias(rank), F.least(F.lit(group), F.col(copies) - F.col(copy)).alias(copies))
+    if most > 1:
+        ranked = ranked.withColumn(copy, F.explode(F.sequence(F.lit(0), F.col(copies) - 1)))
+        ranked = ranked.select(*names, (F.col(rank) + F.col(copy)).alias(rank))
 
     def make():
         def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -169,7 +176,7 @@ def pack(parts: DataFrame, capacity: int = 1024, group: int = 200_000) -> DataFr
 
         return step
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema) + ", sequence_id long, offset long"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.select(*names).schema) + ", sequence_id long, offset long"
     return map_batches(ranked, make, schema)
 
 

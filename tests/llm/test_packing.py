@@ -90,3 +90,17 @@ def test_other_columns_may_have_any_names(spark):
     got = packing.pack(parts, 32).collect()
     assert len(got) == 41 and got[0].rank == 2
     assert sound(got, 32) == 14
+
+
+def test_repeated_pieces_get_a_place_each(spark):
+    rows = [(1, 0, 0, 10, 9)] * 50 + [(None, 0, 0, 10, 9)] * 7 + [(2, 0, 0, 10, 8), (3, 0, 0, 4, 8)]
+    parts = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    key = lambda r: (r.sequence_id, r.offset)
+    want = sorted(packing.pack(parts.repartition(1), 32).collect(), key=key)
+    assert sorted(tuple(r)[:5] for r in want if r.doc_id) == sorted(r for r in rows if r[0])
+    assert len(want) == len(rows) and sound(want, 32) == 20
+    for n, group in ((3, 200_000), (7, 8), (2, 1)):
+        got = packing.pack(parts.repartition(n), 32, group).collect()
+        assert len(got) == len(rows) and sound(got, 32) == 20
+        if group > 64:
+            assert sorted(got, key=key) == want
