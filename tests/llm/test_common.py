@@ -28,3 +28,11 @@ def test_a_bound_of_the_session_stays(spark):
     other.conf.set(common.BATCH_KEY, 1 << 20)
     sizes(other.range(3))
     assert int(other.conf.get(common.BATCH_KEY).rstrip("b")) == 1 << 20
+
+
+def test_slices_are_small_and_whole():
+    texts = ["x" * 8000] * 200 + ["y" * 900_000, None, "z"]
+    batch = pa.record_batch([pa.array(texts)], ["text"])
+    parts = list(common.slices(batch, "text"))
+    assert [t for p in parts for t in p.column("text").to_pylist()] == texts
+    assert all(p.num_rows == 1 or sum(len(t or "") for t in p.column("text").to_pylist()) <= 1 << 18 for p in parts)
