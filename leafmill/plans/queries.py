@@ -395,8 +395,8 @@ def markdown_chunks(docs):
 @query("lineitem")
 def table_chunks(items):
     """Each order's items as a pipe table in a section, parted under its header."""
-    row = F.concat(F.lit("| "), F.col("l_partkey").cast("string"), F.lit(" | "), F.col("l_quantity").cast("int").cast("string"), F.lit(" |"))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity", row.alias("row")))), lambda x: x["row"]), "\n")
+    row = lambda x: F.concat(F.lit("| "), x["l_partkey"].cast("string"), F.lit(" | "), x["l_quantity"].cast("int").cast("string"), F.lit(" |"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity"))), row), "\n")
     tables = items.groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.concat(F.lit("# Items\n\n| part | n |\n| --- | --- |\n"), body).alias("text"))
     return render.block_chunks(tables, 30)
 

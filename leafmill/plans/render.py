@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from leafmill.functions import text as T
 from leafmill.operators import lines as L
@@ -71,50 +77,106 @@ def chunks(markdown_: DataFrame, most: int = 200) -> DataFrame:
     return out.withColumn("chunk", F.row_number().over(Window.partitionBy("doc_id").orderBy("seq")) - 1).drop("seq")
 
 
-def blocks_of(markdown_: DataFrame) -> DataFrame:
-    """``doc_id, block, text``: what blank lines part, a code fence whole, front matter left out."""
-    body = F.trim(F.regexp_replace("text", r"\A---\n(?s:.*?)\n---(?:\n|\z)", ""))
-    rows = markdown_.select("doc_id", F.posexplode(F.split(F.regexp_replace(body, r"^\s+|\s+\z", ""), r"\n\s*\n")).alias("seq", "text"))
-    marks = F.regexp_count("text", F.lit(r"(?m)^\s*(?:`{3,}|~{3,})"))
-    inside = F.coalesce(F.sum(marks).over(L.above()), F.lit(0)) % 2 == 1
-    rows = rows.withColumn("inside", inside).withColumn("block", F.sum((~F.col("inside")).cast("int")).over(L.so_far()) - 1)
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "\n\n")
-    return rows.groupBy("doc_id", F.col("block").cast("int").alias("block")).agg(whole.alias("text"))
+#: Bytes of text that a batch of chunks holds, about.
+SLICE_BYTES = 1 << 20
+_SPACES = " \t\n\x0b\f\r"
+_FRONT = re.compile(r"\A---\n(?s:.*?)\n---(?:\n|\Z)")
+_GAP = re.compile(r"\n\s*\n", re.ASCII)
+_MARK = re.compile("(?:\\A|(?<=[\n\r\x85\u2028\u2029]))\\s*(?:`{3,}|~{3,})", re.ASCII)
+_HEAD = re.compile(r"\A(#{1,6})\s+([^\n]+)\Z", re.ASCII)
+_RULE = re.compile("\\A[| :\\-]+[\r\x85\u2028\u2029]?\\Z")
+
+
+def _words(text: str) -> int:
+    """As ``functions.text.words``: bytes are parted at ASCII white space only."""
+    return len(text.encode().split())
+
+
+def blocks_of(text: str) -> list[str]:
+    """What blank lines part, a code fence whole, front matter left out."""
+    pieces = _GAP.split(_FRONT.sub("", text, count=1).strip(_SPACES))
+    if "```" not in text and "~~~" not in text:
+        return pieces
+    blocks: list[list[str]] = []
+    inside = False
+    for piece in pieces:
+        if inside:
+            blocks[-1].append(piece)
+        else:
+            blocks.append([piece])
+        inside ^= len(_MARK.findall(piece)) % 2 == 1
+    return ["\n\n".join(b) for b in blocks]
+
+
+def _table_parts(lines: list[str], context: str, most: int) -> Iterator[str]:
+    """A table's rows in parts of at most ``most`` tokens, one row at least, each under context and header."""
+    header = "\n".join(lines[:2])
+    fixed = _words(context) + _words(header)
+    rows: list[str] = []
+    tokens = 0
+    for row in lines[2:]:
+        n = _words(row)
+        if rows and fixed + tokens + n > most:
+            yield "\n".join([context + header, *rows])
+            rows, tokens = [], 0
+        rows.append(row)
+        tokens += n
+    yield "\n".join([context + header, *rows])
+
+
+def chunks_of(text: str, most: int) -> Iterator[tuple[str, str]]:
+    """``path, text`` of each chunk of one document, in order."""
+    latest: list[tuple[int, str]] = [(0, "")] * 7  # the last heading of that level or above it
+    path = ""
+    for block in blocks_of(text):
+        head = _HEAD.match(block) if block.startswith("#") else None
+        if head:
+            level = len(head[1])
+            latest[level:] = [(level, head[2])] * (7 - level)
+            path = " > ".join(title for k, (depth, title) in enumerate(latest[1 : level + 1], 1) if depth == k)
+        context = path + "\n\n" if path and not head else ""
+        lines = block.split("\n") if block.startswith("|") else []
+        if len(lines) >= 3 and _RULE.match(lines[1]):
+            for part in _table_parts(lines, context, most):
+                yield path, part
+        else:
+            yield path, context + block
 
 
 def block_chunks(markdown_: DataFrame, most: int = 200) -> DataFrame:
     """``doc_id, chunk, path, text, tokens, oversize``: a chunk for each block, under its section's path.
 
     A table of more than ``most`` tokens is parted between rows, each part under
-    the table's header; any other block stays whole and is marked.
+    the table's header; any other block stays whole and is marked.  One pass
+    over each text in its row: nothing is shuffled, and a worker holds little
+    more than the batch it reads.
     """
-    blocks = blocks_of(markdown_)
-    is_head = F.col("text").rlike(r"\A#{1,6}\s+[^\n]+\z")
-    heads = blocks.where(is_head).select("doc_id", F.col("block").alias("seq"), F.length(F.regexp_extract("text", r"^(#+)", 1)).alias("level"), F.regexp_extract("text", r"^#+\s+([^\n]+)", 1).alias("title"))
-    paths = L.section_paths(heads).select("doc_id", F.col("seq").alias("section"), "path")
-    rows = blocks.withColumn("seq", F.col("block")).withColumn("head", is_head).withColumn("section", F.max(F.when(is_head, F.col("block"))).over(L.so_far()))
-    rows = rows.join(paths, ["doc_id", "section"], "left").withColumn("path", F.coalesce("path", F.lit("")))
-    context = F.when((F.col("path") != "") & ~F.col("head"), F.concat("path", F.lit("\n\n"))).otherwise("")
-    lines = L.split_lines(F.col("text"))
-    table = (F.size(lines) >= 3) & F.col("text").startswith("|") & F.get(lines, F.lit(1)).rlike(r"^[| :\-]+$")
-    header = F.array_join(F.slice(lines, 1, 2), "\n")
-    fixed = T.words(context) + T.words(header)
-    start = F.struct(F.lit(0).alias("tokens"), F.lit(-1).alias("part"), F.array().cast("array<struct<part:int,row:string>>").alias("out"))
-
-    def add(acc: Column, row: Column) -> Column:
-        n = T.words(row)
-        fresh = (acc["part"] < 0) | (fixed + acc["tokens"] + n > most)
-        part = F.when(fresh, acc["part"] + 1).otherwise(acc["part"])
-        return F.struct(F.when(fresh, n).otherwise(acc["tokens"] + n).alias("tokens"), part.alias("part"), F.concat(acc["out"], F.array(F.struct(part.alias("part"), row.alias("row")))).alias("out"))
-
-    parts = F.aggregate(F.slice(lines, 3, F.greatest(F.size(lines) - 2, F.lit(0))), start, add, lambda acc: acc["out"])
-    numbers = F.array_distinct(F.transform(parts, lambda p: p["part"]))
-    split = F.transform(numbers, lambda k: F.concat(context, header, F.lit("\n"), F.array_join(F.transform(F.filter(parts, lambda p: p["part"] == k), lambda p: p["row"]), "\n")))
-    texts = F.when(table, split).otherwise(F.array(F.concat(context, "text")))
-    out = rows.select("doc_id", "block", "path", F.posexplode(texts).alias("part", "text"))
-    tokens = T.words(F.col("text"))
-    numbered = out.withColumn("chunk", F.row_number().over(Window.partitionBy("doc_id").orderBy("block", "part")) - 1)
-    return numbered.select("doc_id", "chunk", "path", "text", tokens.alias("tokens"), (tokens > most).alias("oversize"))
+    schema = StructType([markdown_.schema["doc_id"], *StructType.fromDDL("chunk int, path string, text string, tokens int, oversize boolean")])
+    key = to_arrow_type(schema["doc_id"].dataType)
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        ids, numbers, paths, texts = zip(*rows, strict=True)
+        tokens = [_words(t) for t in texts]
+        columns = [pa.array(ids, key), pa.array(numbers, pa.int32()), pa.array(paths, pa.string()), pa.array(texts, pa.string()), pa.array(tokens, pa.int32()), pa.array([n > most for n in tokens], pa.bool_())]
+        return pa.RecordBatch.from_arrays(columns, schema.names)
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        size = 0
+        for read in batches:
+            for i in range(0, read.num_rows, 256):
+                few = read.slice(i, 256)
+                for doc_id, text in zip(few.column(0).to_pylist(), few.column(1).to_pylist(), strict=True):
+                    for number, (path, part) in enumerate(chunks_of(text, most)):
+                        rows.append((doc_id, number, path, part))
+                        size += len(part) + 100
+                        if size > SLICE_BYTES:
+                            yield batch(rows)
+                            rows, size = [], 0
+        if rows:
+            yield batch(rows)
+
+    return markdown_.where("text is not null").select("doc_id", "text").mapInArrow(step, schema)
 
 
 def conversation_documents(turns: DataFrame) -> DataFrame:
