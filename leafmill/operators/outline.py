@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,18 +25,18 @@ def _key(number: str) -> tuple:
     return tuple(int(p) if p.isdigit() else roman.get(p, p) for p in number.split("."))
 
 
-def _tree(heads: pd.DataFrame) -> pd.DataFrame:
-    """Kind, depth and place in the contents of one document's headings, in order.
+def _tree(heads: list[tuple[str, str, int, bool]]) -> list[tuple[str, int, bool]]:
+    """Kind, level and place in the contents of one document's headings (label, number, rank, top), in order.
 
     A numbered heading belongs to the spine if it goes on from the last of its
     parent and its parent is open or was seen; else it only refers to it.
     """
-    heads = heads.sort_values("seq")
     last: dict[tuple, object] = {}
     open_: list[tuple] = []  # numbers of the open spine, outermost first
     rows, depths = [], set()
-    for label, number in zip(heads["label"].str.lower(), heads["number"], strict=True):
+    for label, number, _, _ in heads:
         key = _key(number) if number else ()
+        label = label.lower()
         under = len(open_[-1]) + 1 if open_ else 1
         if not key:
             rows.append(("unnumbered", under))
@@ -56,10 +57,10 @@ def _tree(heads: pd.DataFrame) -> pd.DataFrame:
             else:
                 rows.append(("off_sequence", 0))
     many = Counter(kind for kind, _ in rows)
-    sections = [r for (kind, d), r in zip(rows, heads["rank"], strict=True) if kind == "section" and d >= 2]
+    sections = [r for (kind, d), (_, _, r, _) in zip(rows, heads, strict=True) if kind == "section" and d >= 2]
     floor, deep = max(sections, default=99), any(d >= 2 for d in depths)
     out = []
-    for (kind, depth), rank, top in zip(rows, heads["rank"], heads["top"], strict=True):
+    for (kind, depth), (_, _, rank, top) in zip(rows, heads, strict=True):
         if kind.startswith("series") and many[kind] < 2:
             kind = "unnumbered"
         if kind == "section":
@@ -74,19 +75,30 @@ def _tree(heads: pd.DataFrame) -> pd.DataFrame:
                 out.append(("runin", 0, False))
             else:
                 out.append(("heading", min(6, depth), depth == 1 or (not deep and depth <= 3)))
-    kinds, levels, listed = zip(*out, strict=True)
-    return pd.DataFrame({"doc_id": heads["doc_id"], "seq": heads["seq"], "kind": kinds, "level": levels, "in_toc": listed})
+    return out
+
+
+def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for read in batches:
+        for i in range(0, read.num_rows, 256):
+            few = read.slice(i, 256)
+            rows = [(doc_id, h["seq"], *told) for doc_id, heads in zip(few.column(0).to_pylist(), few.column(1).to_pylist(), strict=True) for h, told in zip(heads, _tree([(h["label"], h["number"], h["rank"], h["top"]) for h in heads]), strict=True)]
+            columns = zip(*rows, strict=True)
+            types = (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "seq", "kind", "level", "in_toc"])
 
 
 def outline(headings: DataFrame) -> DataFrame:
     """``doc_id, seq, kind, level, in_toc`` of headings (``doc_id, seq, title, rank``).
 
     ``rank`` is the prominence of a heading's style, 1 the greatest.  The rule
-    goes from heading to heading, so one document's headings are one group.
+    goes from heading to heading, so one document's headings are one row, and
+    many documents one batch.
     """
     parts = T.heading_parts(F.col("title"))
-    told = headings.select("doc_id", F.col("seq").cast("int").alias("seq"), F.col("rank").cast("int").alias("rank"), parts["label"].alias("label"), parts["number"].alias("number"), F.trim("title").rlike(TOP_TITLES).alias("top"))
-    return told.groupBy("doc_id").applyInPandas(_tree, "doc_id long, seq int, kind string, level int, in_toc boolean")
+    told = headings.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("seq").cast("int").alias("seq"), F.col("rank").cast("int").alias("rank"), parts["label"].alias("label"), parts["number"].alias("number"), F.trim("title").rlike(TOP_TITLES).alias("top"))
+    each = told.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "rank", "label", "number", "top"))).alias("heads"))
+    return each.mapInArrow(_trees, "doc_id long, seq int, kind string, level int, in_toc boolean")
 
 
 def list_parents(items: DataFrame, deepest: int = 6) -> DataFrame:

@@ -1,5 +1,6 @@
 """What keeps large tables within bounds: how often plans shuffle, and what a step holds at once."""
 
+from leafmill.operators import outline
 from leafmill.plans import render
 
 
@@ -27,3 +28,12 @@ def test_chunks_of_blocks_are_made_in_the_row(spark):
         (10, "A > D", "A > D\n\nout"),
     ]
     assert [(r.doc_id, r.text, r.tokens) for r in rows if r.doc_id != 1] == [(3, "", 0)]
+
+
+def test_outlines_of_many_documents_are_one_batch(spark):
+    titles = ["Chapter 1 A", "1.1 B", "2.9 Elsewhere", "1.2 C", "Glossary"]
+    rows = [(d, k, t, 1 if k in (0, 4) else 2) for d in range(600) for k, t in enumerate(titles)]
+    df = outline.outline(spark.createDataFrame(rows, "doc_id long, seq int, title string, rank int"))
+    assert "FlatMapGroups" not in df._jdf.queryExecution().executedPlan().toString()  # no call for each document
+    kinds = ["section", "section", "body", "section", "heading"]
+    assert sorted((r.doc_id, r.seq, r.kind) for r in df.collect()) == [(d, k, kinds[k]) for d in range(600) for k in range(5)]
