@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as T
@@ -333,25 +333,28 @@ def page_coverage(docs):
 # --------------------------------------------------------------------------- tables
 
 
-def _cells(items):
+def _cell(row, col, rowspan, colspan, text):
+    return F.struct(*[(v if isinstance(v, Column) else F.lit(v)).alias(k) for k, v in {"row": row, "col": col, "rowspan": rowspan, "colspan": colspan, "text": text}.items()])
+
+
+def _tables(items):
     """An order's line items as a table of three columns, under a two-row header."""
-    row = F.col("l_linenumber").cast("int") + 2
-    body = items.select(F.col("l_orderkey").alias("table_id"), F.inline(F.array(*[F.struct(row.alias("row"), F.lit(k).alias("col"), F.lit(1).alias("rowspan"), F.lit(1).alias("colspan"), v.cast("string").alias("text")) for k, v in enumerate((F.col("l_partkey"), F.col("l_quantity").cast("int"), F.col("l_returnflag")))])))
-    head = [(1, 0, 2, 1, "Part"), (1, 1, 1, 2, "Item"), (2, 1, 1, 1, "Quantity"), (2, 2, 1, 1, "Flag")]
-    top = items.select(F.col("l_orderkey").alias("table_id")).distinct().select("table_id", F.inline(F.array(*[F.struct(F.lit(r).alias("row"), F.lit(c).alias("col"), F.lit(rs).alias("rowspan"), F.lit(cs).alias("colspan"), F.lit(t).alias("text")) for r, c, rs, cs, t in head])))
-    return top.unionByName(body)
+    head = F.array(*[_cell(*c) for c in [(1, 0, 2, 1, "Part"), (1, 1, 1, 2, "Item"), (2, 1, 1, 1, "Quantity"), (2, 2, 1, 1, "Flag")]])
+    made = lambda x: F.array(*[_cell(x["l_linenumber"].cast("int") + 2, k, 1, 1, v.cast("string")) for k, v in enumerate((x["l_partkey"], x["l_quantity"].cast("int"), x["l_returnflag"]))])
+    each = items.groupBy(F.col("l_orderkey").alias("table_id")).agg(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity", "l_returnflag")).alias("items"))
+    return each.select("table_id", F.concat(head, F.flatten(F.transform("items", made))).alias("cells"))
 
 
 @query("lineitem")
 def table_markdown(items):
-    return TB.grid(_cells(items)).select("table_id", TB.pipe_table(F.col("rows"), 2).alias("md"))
+    return TB.grids(TB.sized(_tables(items))).select("table_id", TB.pipe_table(F.col("rows"), 2).alias("md"))
 
 
 @query("lineitem")
 def table_status(items):
-    cells = _cells(items)
-    hurt = cells.withColumn("rowspan", F.when((F.col("table_id") % 5 == 0) & (F.col("row") == 3), 2).when((F.col("table_id") % 7 == 0) & (F.col("row") == 1), 1_000_000).otherwise(F.col("rowspan")))
-    return TB.status(hurt)
+    t = F.col("table_id")
+    hurt = lambda c: c.withField("rowspan", F.when((t % 5 == 0) & (c["row"] == 3), 2).when((t % 7 == 0) & (c["row"] == 1), 1_000_000).otherwise(c["rowspan"]))
+    return TB.statuses(TB.sized(_tables(items).withColumn("cells", F.transform("cells", hurt))))
 
 
 # ------------------------------------------------------------------ markup and chunks

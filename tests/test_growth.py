@@ -1,7 +1,8 @@
 """What keeps large tables within bounds: how often plans shuffle, and what a step holds at once."""
 
-from leafmill.operators import outline
+from leafmill.operators import outline, tables
 from leafmill.plans import render
+from leafmill.plans.queries import QUERIES
 
 
 def exchanges(df) -> int:
@@ -37,3 +38,11 @@ def test_outlines_of_many_documents_are_one_batch(spark):
     assert "FlatMapGroups" not in df._jdf.queryExecution().executedPlan().toString()  # no call for each document
     kinds = ["section", "section", "body", "section", "heading"]
     assert sorted((r.doc_id, r.seq, r.kind) for r in df.collect()) == [(d, k, kinds[k]) for d in range(600) for k in range(5)]
+
+
+def test_tables_are_dealt_once(spark, sf_dir):
+    assert exchanges(QUERIES["table_markdown"](spark, sf_dir)) == 1
+    cells = [(1, 1, 0, 2, 1, "a"), (1, 1, 1, 1, 2, "b"), (1, 2, 1, 1, 1, "c"), (1, 2, 2, 1, 1, "d"), (2, 1, 0, 1_000_000, 1, "x"), (2, 1, 1, 1, 1, "y"), (3, 1, 0, 2, 1, "x"), (3, 2, 0, 1, 1, "y"), (4, 1, 0, None, 1, "x"), (None, 1, 0, 1, 1, "x")]
+    df = spark.createDataFrame(cells, "table_id long, row int, col int, rowspan int, colspan int, text string")
+    assert exchanges(tables.grid(df)) == 1
+    assert sorted((r.table_id, r.rows) for r in tables.grid(df).collect()) == [(1, [["a", "b", "b"], ["a", "c", "d"]]), (3, [["x"], ["x", "y"]])]
