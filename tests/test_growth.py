@@ -1,8 +1,12 @@
 """What keeps large tables within bounds: how often plans shuffle, and what a step holds at once."""
 
+import pyarrow as pa
+from pyspark.sql.types import LongType
+
 from leafmill.operators import outline, tables
 from leafmill.plans import render
 from leafmill.plans.queries import QUERIES
+from leafmill.sources import html
 
 
 def exchanges(df) -> int:
@@ -46,3 +50,22 @@ def test_tables_are_dealt_once(spark, sf_dir):
     df = spark.createDataFrame(cells, "table_id long, row int, col int, rowspan int, colspan int, text string")
     assert exchanges(tables.grid(df)) == 1
     assert sorted((r.table_id, r.rows) for r in tables.grid(df).collect()) == [(1, [["a", "b", "b"], ["a", "c", "d"]]), (3, [["x"], ["x", "y"]])]
+
+
+def test_places_are_not_kept_by_task(spark, sf_dir):
+    assert exchanges(QUERIES["table_status"](spark, sf_dir)) == 1
+    cells = [(1, 1, 0, 2, 1, "a"), (1, 1, 1, 1, 2, "b"), (2, 1, 0, 1_000_000, 1, "x"), (3, 1, 0, 2, 1, "x"), (3, 2, 0, 1, 1, "y"), (4, 1, 0, None, 1, "x")]
+    df = spark.createDataFrame(cells, "table_id long, row int, col int, rowspan int, colspan int, text string")
+    assert exchanges(tables.status(df)) == 1
+    assert sorted(map(tuple, tables.status(df).collect())) == [(1, "ok"), (2, "refused"), (3, "overlap"), (4, "ok")]
+
+
+def test_pages_are_given_back_in_slices(spark):
+    pages = [(k, "<h1>t</h1>" + "<p>" + "word " * 100 + "</p>") for k in range(50)]
+    step = html.stepper(lambda page: html.rows_of(html.read(page).blocks), html.schema_of("page_id", LongType(), html.BLOCKS), 10_000)
+    batch = pa.RecordBatch.from_pydict({"page_id": [k for k, _ in pages], "html": [h for _, h in pages]})
+    out = list(step(iter([batch])))
+    assert len(out) > 1 and max(b.nbytes for b in out) < 20_000
+    assert sum(b.num_rows for b in out) == 100
+    plan = html.blocks(spark.createDataFrame(pages, "page_id long, html string"))._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan
