@@ -43,11 +43,18 @@ _HEADING = r"(?dm)^(#{1,6})[ \t]+(\S[^\n]*?)[ \t]*$"
 
 def folded(c: Column) -> Column:
     """The text with each code fence as one line of three backticks."""
-    return F.regexp_replace(c, FENCE, "```")
+    return F.when(c.contains("```"), F.regexp_replace(c, FENCE, "```")).otherwise(c)
 
 
-def count_of(c: Column, pattern: str) -> Column:
-    return F.regexp_count(c, F.lit(pattern))
+def count_of(c: Column, pattern: str, *marks: str) -> Column:
+    """How often a pattern occurs, looked for only in texts with one of ``marks``, which each match needs."""
+    found = F.regexp_count(c, F.lit(pattern))
+    if not marks:
+        return found
+    any_of = c.contains(marks[0])
+    for mark in marks[1:]:
+        any_of = any_of | c.contains(mark)
+    return F.when(any_of, found).otherwise(F.when(c.isNotNull(), 0))
 
 
 def jumps(levels: Column) -> Column:
@@ -87,7 +94,8 @@ def exploded(docs: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """``doc_id, check, n``: a row for each check that fires in a document, with how often.
 
     ``files`` has the paths (``doc_id, path``) that image links may name; without
-    it links are not checked.  A null text has no row.
+    it links are not checked.  A null text has no row.  Checks and images come
+    from one pass; what is shuffled is checks that fired and paths of images.
     """
     docs = docs.where("text is not null").select("doc_id", F.regexp_replace("text", r"\n\z", "").alias("text"))
     rows = docs.select("doc_id", "text", folded(F.col("text")).alias("plain"))
@@ -96,20 +104,21 @@ def exploded(docs: DataFrame, files: DataFrame | None = None) -> DataFrame:
     rows = rows.withColumn("titles", F.transform(F.regexp_extract_all(plain, F.lit(_HEADING), F.lit(2)), F.lower))
     body = folded(F.regexp_replace(c, r"(?s)\A---[ \t]*\n.*?\n---[ \t]*(?:\n|\z)", ""))
     rows = rows.withColumn("prose", F.regexp_replace(body, r"(?dm)^```$\n?", ""))
-    lines = F.filter(split_lines(plain), lambda x: (F.trim(x) != "") & ~x.rlike(r"^(#|>|[-*+] |\d+[.)] |\||```)") & x.rlike("[A-Za-z]"))
-    rows = rows.withColumn("n_prose", F.size(lines)).withColumn("short", F.size(F.filter(lines, lambda x: (F.length(F.trim(x)) < 45) & ~F.rtrim(x).rlike("[.!?:;]$"))))
+    rows = rows.withColumn("told", F.filter(split_lines(plain), lambda x: (F.trim(x) != "") & ~x.rlike(r"^(#|>|[-*+] |\d+[.)] |\||```)") & x.rlike("[A-Za-z]")))
+    rows = rows.withColumn("n_prose", F.size("told")).withColumn("short", F.size(F.filter("told", lambda x: (F.length(F.trim(x)) < 45) & ~F.rtrim(x).rlike("[.!?:;]$"))))
     prose, ascii_words = F.col("prose"), count_of(F.col("prose"), "[A-Za-z]{3,}")
-    judged = (F.length(prose) >= 2000) & (count_of(prose, "[A-Za-z]") >= 0.4 * F.length(prose)) & (ascii_words >= 200)
-    broken = judged & ((T.long_letters(prose) > 0.06 * T.word_letters(prose)) | ((ascii_words >= 300) & (T.mute_words(prose) > 0.15 * ascii_words)))
+    letters = F.length(F.regexp_replace(prose, "[^A-Za-z]+", ""))
+    judged = (F.length(prose) >= 2000) & (letters >= 0.4 * F.length(prose)) & (ascii_words >= 200)
+    broken = judged & ((prose.rlike("[A-Za-z]{25}") & (T.long_letters(prose) > 0.06 * T.word_letters(prose))) | ((ascii_words >= 300) & (T.mute_words(prose) > 0.15 * ascii_words)))
     checks = {
-        "replacement_chars": count_of(c, r"(?dm)^.*\x{FFFD}.*$"),
-        "private_use_chars": count_of(c, r"(?dm)^.*[\x{E000}-\x{F8FF}].*$"),
-        "unclosed_fence": count_of(c, r"(?dm)^[ \t]*```") % 2,
+        "replacement_chars": count_of(c, r"(?dm)^.*\x{FFFD}.*$", "\ufffd"),
+        "private_use_chars": F.when(c.rlike(r"[\x{E000}-\x{F8FF}]"), count_of(c, r"(?dm)^.*[\x{E000}-\x{F8FF}].*$")).otherwise(0),
+        "unclosed_fence": count_of(c, r"(?dm)^[ \t]*```", "```") % 2,
         "heading_jump": jumps(F.col("levels")),
         "duplicate_heading": often(F.col("titles")),
         "standalone_page_number": count_of(plain, r"(?dm)^[ \t]*\d{1,4}[ \t]*$"),
         "broken_text_layer": broken.cast("int"),
-        "possible_broken_hyphen": count_of(plain, r"(?dm)[A-Za-zÀ-ÖØ-öø-ÿ]-$(?=\n[a-zà-öø-ÿ])"),
+        "possible_broken_hyphen": count_of(plain, r"(?dm)[A-Za-zÀ-ÖØ-öø-ÿ]-$(?=\n[a-zà-öø-ÿ])", "-\n"),
         "excess_blank_lines": count_of(plain, r"(?dm)^[ \t]*\n[ \t]*(?:\n|(?<=[ \t])\z)[ \t\n]*"),
         "trailing_whitespace": count_of(plain, r"(?dm)(?<! ) $|\t$"),
         "short_prose_fragment": ((F.col("n_prose") >= 20) & (F.col("short") > 0.22 * F.col("n_prose"))).cast("int"),
@@ -119,17 +128,14 @@ def exploded(docs: DataFrame, files: DataFrame | None = None) -> DataFrame:
         value = T.yaml_field(c, name)
         checks[f"corrupt_{name}_spacing"] = (T.spaced_glyphs(value) >= 4).cast("int")
         checks[f"implausible_{name}_length"] = ((F.length(value) > most) | (T.words(value) > 40)).cast("int")
-    out = _long(rows, checks)
-    if files is not None:
-        named = rows.select("doc_id", F.explode(image_targets(plain)).alias("path"))
-        lost = named.join(files.select("doc_id", "path").distinct(), ["doc_id", "path"], "left_anti")
-        out = out.unionByName(lost.groupBy("doc_id").agg(F.count("*").cast("int").alias("n")).withColumn("check", F.lit("broken_image_link")))
-    return out.where("n > 0")
-
-
-def _long(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    pairs = F.array(*[F.struct(F.lit(k).alias("check"), v.cast("int").alias("n")) for k, v in columns.items()])
-    return df.select("doc_id", F.inline(pairs))
+    fired = F.array(*[F.struct(F.lit(k).alias("check"), v.cast("int").alias("n"), F.lit(None).cast("string").alias("path")) for k, v in checks.items()])
+    if files is None:
+        return rows.select("doc_id", F.inline(fired)).where("n > 0").select("doc_id", "check", "n")
+    images = F.transform(image_targets(plain), lambda t: F.struct(F.lit("broken_image_link").alias("check"), F.lit(1).alias("n"), t.alias("path")))
+    found = rows.select("doc_id", F.inline(F.concat(fired, images))).where("n > 0")
+    # A check has no path, so it meets no file and stays.
+    lost = found.join(files.select("doc_id", "path").distinct(), ["doc_id", "path"], "left_anti")
+    return lost.groupBy("doc_id", "check").agg(F.sum("n").cast("int").alias("n"))
 
 
 def issues(found: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 import pyarrow as pa
 from pyspark.sql.types import LongType
 
-from leafmill.operators import outline, tables
+from leafmill.operators import audit, outline, tables
 from leafmill.plans import render
 from leafmill.plans.queries import QUERIES
 from leafmill.sources import html
@@ -69,3 +69,10 @@ def test_pages_are_given_back_in_slices(spark):
     assert sum(b.num_rows for b in out) == 100
     plan = html.blocks(spark.createDataFrame(pages, "page_id long, html string"))._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan
+
+
+def test_an_audit_reads_each_text_once(spark):
+    docs = spark.createDataFrame([(1, "![x](a.png) ![y](gone.png)\n```"), (2, None)], "doc_id long, text string")
+    df = audit.exploded(docs, spark.createDataFrame([(1, "a.png")], "doc_id long, path string"))
+    assert df._jdf.queryExecution().executedPlan().toString().count("Scan ExistingRDD") == 2  # texts and files
+    assert sorted(map(tuple, df.collect())) == [(1, "broken_image_link", 1), (1, "unclosed_fence", 1)]
